@@ -161,9 +161,9 @@ def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table
     Each window of ``window`` tokens inside one text selects the q-gram of least hash in it (the last
     one of equals), which depends on nothing but the window's content. Returned, for each run of
     neighbouring windows with the same selection: text index, first window's start in the text,
-    number of windows, the anchor's hash. Long texts are cut into pieces of windows; nothing is left out.
+    number of windows, the anchor's hash, and how far the anchor starts from the first window. Long texts are cut into pieces of windows; nothing is left out.
     """
-    texts, firsts, counts, anchors = [], [], [], []
+    texts, firsts, counts, anchors, offs = [], [], [], [], []
     n, width = len(tokens), window - q + 1
     begin, end = offsets[:-1], offsets[1:]
     mask = np.uint64((1 << 22) - 1)
@@ -197,10 +197,11 @@ def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table
         firsts.append(first - offsets[text])
         counts.append(np.diff(np.append(new, len(starts))))
         anchors.append(grams[sel[new]])
+        offs.append(sel[new] - starts[new])
     if not texts:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
-    return np.concatenate(texts), np.concatenate(firsts), np.concatenate(counts), np.concatenate(anchors)
+        return none, none, none, np.zeros(0, np.uint64), none
+    return tuple(np.concatenate(x) for x in (texts, firsts, counts, anchors, offs))
 
 
 def cover(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -6,8 +6,11 @@ equal offsets, and only windows whose anchor occurs twice can repeat. Neighbouri
 same anchor form a segment; a segment as a whole stands for its windows until it is found to differ.
 
 1. live anchors: counted over all texts with map-side aggregation; the rest are dropped;
-2. live segments, by text, each given the hash of its content: equal content is one class;
-3. classes whose anchor has another class are taken apart into windows; the others need not be;
+2. live segments, by text, each with the name of its content: equal content is one class;
+3. where an anchor has several classes, one member of each (and the members that may still turn out
+   repeated) are split into blocks of neighbouring windows, aligned on the anchor. A block's bucket is
+   the core that all windows of a whole block have in common; buckets and classes of blocks are
+   treated like those of segments, and what is left is split again, down to single windows;
 4. the repeated windows of each text, as ranges of its tokens.
 
 No step emits pairs: groups of any size are only aggregated, and joined back on their key.
@@ -38,6 +41,8 @@ class Windows:
     q: int
     words: bool
     earlier: bool
+    #: Windows in a block, level by level; the last is 1.
+    levels: tuple[int, ...] = (1,)
     #: Gives token ranges 64-bit names, equal for equal content.
     names: Callable = K.hash_ranges
 
@@ -56,14 +61,18 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def _scan(batch: pa.RecordBatch, win: Windows, full: bool) -> pa.RecordBatch:
     tokens, offsets, table = win.tokens(batch.column(1))
-    text, first, count, anchor = K.segments(tokens, offsets, win.q, win.width, table)
-    head = batch.column(0).take(pa.array(text))
-    columns = {"a": _signed(anchor), "d": head}
+    text, first, count, anchor, off = K.segments(tokens, offsets, win.q, win.width, table)
+    columns = {"a": _signed(anchor), "d": batch.column(0).take(pa.array(text))}
     if full:
-        columns |= {"at": pa.array(first << 8 | count)}
+        columns |= {"at": pa.array(_pack(first, off, count))}
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _pack(first: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A place: the first window, how far the anchor starts from it, the number of windows."""
+    return first << 16 | off << 8 | count
+
+
 def _distinct(values: pa.Array, lists: pa.Array):
     """Values sorted and distinct within each list, the list of each, and their places in ``values``."""
     values = values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
@@ -81,33 +90,44 @@ def unpack(column: pa.Array):
     return _distinct(column.flatten(), column)[:2]
 
 
-def _classes(batch: pa.RecordBatch, win: Windows) -> pa.RecordBatch | None:
-    """(key, doc, text, live places with their anchors) to live segments and the name of their content."""
-    tokens, offsets, table = win.tokens(batch.column(2))
-    both = batch.column(3)
-    at, row, order = _distinct(both.flatten().field("at"), both)
-    anchor = both.flatten().field("a").take(pa.array(order))
-    first, count = at >> 8, at & 255
-    start = first + offsets[row]
-    content = win.names(tokens, start, start + count + win.width - 1, K.MULTS[2], table)
+ROWS = "a long, c long, n int, key long, doc long, at long"
+
+
+def _rows(batch: pa.RecordBatch, bucket: pa.Array, content: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     rows = pa.array(row)
     return pa.RecordBatch.from_pydict({
-        "a": anchor, "c": _signed(content), "n": pa.array(count.astype(np.int32)),
-        "key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "first": pa.array(first),
+        "a": bucket, "c": _signed(content), "n": pa.array((at & 255).astype(np.int32)),
+        "key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "at": pa.array(at),
     })
 
 
-def _windows(batch: pa.RecordBatch, win: Windows) -> pa.RecordBatch | None:
-    """(key, doc, text, places) to one row for each window of the places."""
+def _segments(batch: pa.RecordBatch, win: Windows) -> pa.RecordBatch:
+    """(key, doc, text, live places with their anchors) to the live segments."""
+    tokens, offsets, table = win.tokens(batch.column(2))
+    both = batch.column(3)
+    at, row, order = _distinct(both.flatten().field("at"), both)
+    start = (at >> 16) + offsets[row]
+    content = win.names(tokens, start, start + (at & 255) + win.width - 1, K.MULTS[2], table)
+    return _rows(batch, both.flatten().field("a").take(pa.array(order)), content, row, at)
+
+
+def _blocks(batch: pa.RecordBatch, win: Windows, size: int) -> pa.RecordBatch:
+    """(key, doc, text, places) to blocks of ``size`` windows, aligned on the anchor."""
     tokens, offsets, table = win.tokens(batch.column(2))
     at, row = unpack(batch.column(3))
-    first, count = at >> 8, at & 255
-    row, at = np.repeat(row, count), np.repeat(first, count) + K.ranges(count)
-    start = at + offsets[row]
-    content = win.names(tokens, start, start + win.width, K.MULTS[3], table)
-    check = win.names(tokens, start, start + win.width, K.MULTS[0], table)
-    rows = pa.array(row)
-    return pa.RecordBatch.from_pydict({"w": _signed(content), "x": _signed(check), "key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "at": pa.array(at)})
+    first, off, count = at >> 16, at >> 8 & 255, at & 255
+    low = (off - count + 1) // size
+    counts = off // size - low + 1
+    anchor, high_off, low_off = (np.repeat(x, counts) for x in (first + off, off, off - count + 1))
+    row = np.repeat(row, counts)
+    block = np.repeat(low, counts) + K.ranges(counts)
+    high, least = np.minimum(high_off, block * size + size - 1), np.maximum(low_off, block * size)
+    at = _pack(anchor - high, high, high - least + 1)
+    core = anchor - block * size + offsets[row]
+    bucket = win.names(tokens, core, core - size + 1 + win.width, K.MULTS[1], table) + K.mix(block.astype(np.uint64) + np.uint64(1))
+    start = anchor - high + offsets[row]
+    content = win.names(tokens, start, start + high - least + win.width, K.MULTS[2], table)
+    return _rows(batch, _signed(bucket), content, row, at)
 
 
 def _with_places(texts: DataFrame, places: DataFrame, *more: str) -> DataFrame:
@@ -116,11 +136,31 @@ def _with_places(texts: DataFrame, places: DataFrame, *more: str) -> DataFrame:
     return texts.join(lists, texts[KEY] == lists["key"]).select(KEY, DOC, TEXT, "at")
 
 
+def _settle(cuts: Cuts, rows: DataFrame, win: Windows, last: bool):
+    """(repeated places, places to split) among the members of buckets."""
+    classes = rows.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    buckets = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most"))
+    named = classes.join(buckets, "a").where("least < most and (low < high or kinds > 1)" if win.earlier else "times > 1 or kinds > 1")
+    named = cuts.write(named.select("a", "c", "n", "times", "low", "least", (F.col("kinds") > 1).alias("mixed")))
+    placed = cuts.write(rows.join(named, ["a", "c", "n"]).select("a", "c", "n", "key", "doc", "at", "times", "low", "least", "mixed"))
+    cuts.drop(named)
+    done = cuts.write(placed.where("doc > low" if win.earlier else "times > 1").select("key", "at"))
+    if last:
+        cuts.drop(placed)
+        return done, None
+    one = placed.where("mixed").groupBy("a", "c", "n").agg(F.min(F.struct("doc", "key", "at")).alias("one"))
+    left = one.select("one.key", "one.at")
+    if win.earlier:  # all places in the least text of a class, if another class of the bucket has a smaller one
+        left = left.union(placed.where("mixed and doc = low and low > least").select("key", "at"))
+    left = cuts.write(left)
+    cuts.drop(placed)
+    return done, left
+
+
 def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
-    """(key, ranges): for each text of ``keyed`` rows with repeated windows, their places as
-    first << 8 | number of neighbouring windows. Texts without any have no row."""
-    head = DOC if win.earlier else KEY
-    bare = map_batches(texts.select(head, TEXT), lambda b: _scan(b, win, False), "a long, d long")
+    """(key, ranges): for each text of ``keyed`` rows with repeated windows, their places (see ``_pack``).
+    Texts without any have no row."""
+    bare = map_batches(texts.select(DOC, TEXT), lambda b: _scan(b, win, False), "a long, d long")
     if win.earlier:
         live = bare.groupBy("a").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("a")
     else:
@@ -129,31 +169,21 @@ def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
     places = map_batches(texts.select(KEY, TEXT), lambda b: _scan(b, win, True), "a long, d long, at long")
     places = cuts.write(places.join(live, "a", "left_semi").select(F.col("d").alias("key"), "at", "a"))
     cuts.drop(live)
-    found = cuts.write(map_batches(_with_places(texts, places, "a"), lambda b: _classes(b, win), "a long, c long, n int, key long, doc long, first long"))
+    rows = cuts.write(map_batches(_with_places(texts, places, "a"), lambda b: _segments(b, win), ROWS))
     cuts.drop(places)
-
-    classes = found.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"))
-    mixed = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("low").alias("most")).where("kinds > 1").select("a")
-    named = cuts.write(classes.join(mixed.withColumn("mixed", F.lit(True)), "a", "left").where("times > 1 or mixed"))
-    placed = cuts.write(found.join(named, ["a", "c", "n"]))
-    cuts.drop(found)
-    at = F.shiftleft("first", 8).bitwiseOR(F.col("n").cast("long"))
-    whole = placed.where("doc > low" if win.earlier else "times > 1").select("key", at.alias("at"))
-    # classes to take apart: one place each, or all those in the class's least text, which others may still precede
-    if win.earlier:
-        open_ = placed.where("mixed and doc = low").select("key", at.alias("at"))
-    else:
-        least = placed.where("mixed").groupBy("a", "c", "n").agg(F.min(F.struct("key", "first")).alias("one"))
-        open_ = least.select(F.col("one.key").alias("key"), F.shiftleft("one.first", 8).bitwiseOR(F.col("n").cast("long")).alias("at"))
-    windows = cuts.write(map_batches(_with_places(texts, open_), lambda b: _windows(b, win), "w long, x long, key long, doc long, at long"))
-    if win.earlier:
-        again = windows.groupBy("w", "x").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "x", "low")
-        parts = windows.join(again, ["w", "x"]).where("doc > low")
-    else:
-        again = windows.groupBy("w", "x").agg(F.count("*").alias("times")).where("times > 1").select("w", "x")
-        parts = windows.join(again, ["w", "x"], "left_semi")
-    parts = parts.select("key", F.shiftleft("at", 8).bitwiseOR(F.lit(1).cast("long")).alias("at"))
-    out = cuts.write(whole.union(parts).groupBy("key").agg(F.collect_list("at").alias(RANGES)))
-    for frame in (named, placed, windows):
-        cuts.drop(frame)
+    done, left = _settle(cuts, rows, win, last=False)
+    cuts.drop(rows)
+    found = [done]
+    for size in win.levels:
+        rows = cuts.write(map_batches(_with_places(texts, left), lambda b, size=size: _blocks(b, win, size), ROWS))
+        cuts.drop(left)
+        done, left = _settle(cuts, rows, win, last=size == win.levels[-1])
+        cuts.drop(rows)
+        found.append(done)
+    every = found[0]
+    for done in found[1:]:
+        every = every.union(done)
+    out = cuts.write(every.groupBy("key").agg(F.collect_list("at").alias(RANGES)))
+    for done in found:
+        cuts.drop(done)
     return out

@@ -38,7 +38,7 @@ def _cut(batch: pa.RecordBatch, min_words: int, digest: bool) -> pa.RecordBatch:
     for i in range(batch.num_rows):
         low, high = by_text[i], by_text[i + 1]
         places = at[first[i] : first[i + 1]]
-        begin, count = places >> 8, places & 255
+        begin, count = places >> 16, places & 255
         mask = K.cover(high - low, begin, begin + count + min_words - 1)
         s, e = starts[low:high][~mask].tolist(), ends[low:high][~mask].tolist()
         text = b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)])

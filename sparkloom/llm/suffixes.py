@@ -65,7 +65,7 @@ def _cut(batch: pa.RecordBatch, min_bytes: int, digest: bool) -> pa.RecordBatch:
     for i in range(batch.num_rows):
         own = data[offsets[i] : offsets[i + 1]]
         places = at[first[i] : first[i + 1]]
-        begin, count = places >> 8, places & 255
+        begin, count = places >> 16, places & 255
         mask = K.cover(len(own), begin, begin + count + min_bytes - 1)
         s, e = runs(mask)
         rest = own[~mask].tobytes()
@@ -96,7 +96,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("bucket_bytes must be in 1..min_bytes, and less than 250 below it")
     cuts = Cuts(docs.sparkSession, "suffixes")
     texts = keyed(docs, id_col, text_col)
-    places = repeated_ranges(cuts, texts, Windows(min_bytes, bucket_bytes, words=False, earlier=True, names=partial(bucket_names, q=bucket_bytes)))
+    places = repeated_ranges(cuts, texts, Windows(min_bytes, bucket_bytes, words=False, earlier=True, levels=(9, 3, 1), names=partial(bucket_names, q=bucket_bytes)))
     both = texts.join(places, texts[KEY] == places["key"], "left").select(DOC, TEXT, RANGES)
     tail = "kept_sha256 string" if digest else "kept_bytes binary, removed array<struct<start:long,end:long>>"
     return map_batches(both, lambda b: _cut(b, min_bytes, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {tail}")

