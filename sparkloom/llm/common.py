@@ -28,14 +28,14 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, doc, text): a 64-bit key of id and text, the id with null last, the text with null empty.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(key, doc, more columns, text): a 64-bit key of id and text, the id with null last, the text with null empty.
 
     Rows that are equal in id and text share a key; every operator treats them alike.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    return docs.select(F.xxhash64(doc, text).alias(KEY), doc.alias(DOC), text.alias(TEXT))
+    return docs.select(F.xxhash64(doc, text).alias(KEY), doc.alias(DOC), *more, text.alias(TEXT))
 
 
 def real_id(column: str = DOC):
@@ -119,3 +119,22 @@ def components(cuts: Cuts, edges: DataFrame) -> DataFrame:
         now = after
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+RANK = OWN + "rank"
+
+
+def numbered(cuts: Cuts, df: DataFrame, *order) -> DataFrame:
+    """The rows with their place in the order, from 0, as column RANK: range-partitioned, never in one task.
+
+    Only the row counts of the partitions come to the driver.
+    """
+    part, place = OWN + "part", OWN + "place"
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cuts.write(rows.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()))
+    counts = sorted((r[part], r["count"]) for r in rows.groupBy(part).count().collect())
+    before, seen = {}, 0
+    for p, n in counts:
+        before[p], seen = seen, seen + n
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col(part).cast("long")) if before else F.lit(0)
+    return rows.withColumn(RANK, offset + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, place)

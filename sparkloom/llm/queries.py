@@ -1,4 +1,8 @@
-"""One query for each operator, over its whole table, with the parameters used in production."""
+"""One query for each operator, over its whole table, with the parameters used in production.
+
+No SQL stands beside them: learned scores, fingerprints, window dedup on whole tables, components and
+sampling are not expressible in it or far too slow; tests/llm compares each with brute force instead.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, decontam, jaccard, licenses, mixing, pii, quality, syncmers
 from .common import documents
 from .substrings import dedup_substrings
 from .suffixes import dedup_suffixes
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score_quality(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir), digest=True)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conflict = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", conflict), (-1, 1, "assistant", conflict)], "conv_id long, turn long, role string, text string")
+    return chat.digest_conversations(chat.format_conversations(turns.union(more)))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(documents(spark, sf_dir), digest=True)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_spans(pii.detect_pii(documents(spark, sf_dir)))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_suffix_dedup)}
+    every = (
+        op1_quality_classifier, op2_syncmer_fingerprints, op3_substring_dedup, op4_chat_formatting, op5_mix_sources,
+        op6_decontaminate, op7_suffix_dedup, op8_jaccard_join, op9_pii, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
