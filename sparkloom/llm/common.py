@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -90,9 +91,15 @@ class Cuts:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def settle(self) -> None:
-        """Let Spark remove the shuffle files of what is no longer referenced."""
+        """Let Spark remove the shuffle files of what is no longer referenced.
+
+        The last execution is referenced until the listeners have seen its end; its files go shortly
+        after the collection that finds it unreferenced.
+        """
+        time.sleep(0.15)
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.15)
 
 
 def components(cuts: Cuts, edges: DataFrame) -> DataFrame:

@@ -166,17 +166,21 @@ def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
     else:
         live = bare.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     live = cuts.write(live)
+    cuts.settle()
     places = map_batches(texts.select(KEY, TEXT), lambda b: _scan(b, win, True), "a long, d long, at long")
     places = cuts.write(places.join(live, "a", "left_semi").select(F.col("d").alias("key"), "at", "a"))
     cuts.drop(live)
+    cuts.settle()
     rows = cuts.write(map_batches(_with_places(texts, places, "a"), lambda b: _segments(b, win), ROWS))
     cuts.drop(places)
+    cuts.settle()
     done, left = _settle(cuts, rows, win, last=False)
     cuts.drop(rows)
     found = [done]
     for size in win.levels:
         rows = cuts.write(map_batches(_with_places(texts, left), lambda b, size=size: _blocks(b, win, size), ROWS))
         cuts.drop(left)
+        cuts.settle()
         done, left = _settle(cuts, rows, win, last=size == win.levels[-1])
         cuts.drop(rows)
         found.append(done)
