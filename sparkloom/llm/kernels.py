@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 WORD64 = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes; different ones give independent hashes.
 MULTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -143,16 +143,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, m
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values, in time independent of the width."""
-    n = len(values) - width + 1
-    if n <= 0:
+    """Minimum of each run of ``width`` values: minima of runs of a power of two, doubled, then two that overlap."""
+    if len(values) < width:
         return values[:0]
-    pad = (-len(values)) % width
-    blocks = np.concatenate([values, np.full(pad, np.uint64(WORD64))]) if pad else values
-    blocks = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    run = 1
+    while 2 * run <= width:
+        values = np.minimum(values[:-run], values[run:])
+        run *= 2
+    rest = width - run
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
 def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table: np.ndarray | None = None):
@@ -173,7 +172,10 @@ def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table
         if len(part) < window:
             break
         sums = prefix(part if table is None else table[part], MULTS[1])
-        grams = mix((sums[q:] - sums[:-q]) * powers(MULTS[1], len(part) + 1)[1][: len(part) - q + 1])
+        grams = sums[q:] - sums[:-q]
+        grams *= powers(MULTS[1], len(part) + 1)[1][: len(part) - q + 1]
+        grams ^= grams >> np.uint64(32)
+        grams *= np.uint64(MULTS[0])
         at = np.arange(len(grams), dtype=np.uint64)
         least = sliding_min((grams & ~mask) | (mask - at), width)
         chosen = (mask - (least & mask)).astype(np.int64)

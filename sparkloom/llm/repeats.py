@@ -41,7 +41,7 @@ class Windows:
     q: int
     words: bool
     earlier: bool
-    #: Windows in a block, level by level; the last is 1.
+    #: Windows in a block, level by level; the last is 1. Without levels only whole segments are settled.
     levels: tuple[int, ...] = (1,)
     #: Gives token ranges 64-bit names, equal for equal content.
     names: Callable = K.hash_ranges
@@ -140,7 +140,8 @@ def _settle(cuts: Cuts, rows: DataFrame, win: Windows, last: bool):
     """(repeated places, places to split) among the members of buckets."""
     classes = rows.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     buckets = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most"))
-    named = classes.join(buckets, "a").where("least < most and (low < high or kinds > 1)" if win.earlier else "times > 1 or kinds > 1")
+    whole, parts = ("low < high", "least < most and (low < high or kinds > 1)") if win.earlier else ("times > 1", "times > 1 or kinds > 1")
+    named = classes.join(buckets, "a").where(whole if last else parts)
     named = cuts.write(named.select("a", "c", "n", "times", "low", "least", (F.col("kinds") > 1).alias("mixed")))
     placed = cuts.write(rows.join(named, ["a", "c", "n"]).select("a", "c", "n", "key", "doc", "at", "times", "low", "least", "mixed"))
     cuts.drop(named)
@@ -174,7 +175,7 @@ def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
     rows = cuts.write(map_batches(_with_places(texts, places, "a"), lambda b: _segments(b, win), ROWS))
     cuts.drop(places)
     cuts.settle()
-    done, left = _settle(cuts, rows, win, last=False)
+    done, left = _settle(cuts, rows, win, last=not win.levels)
     cuts.drop(rows)
     found = [done]
     for size in win.levels:

@@ -5,7 +5,8 @@ q-gram of least hash is sampled, so no repeated string is without a sampled suff
 Initial buckets are equal q-grams. A bucket that holds a single text is final and dropped. The rest
 are refined by the bucket identifiers of later offsets: the identifier of a 2q-byte prefix is made of
 those of its two halves, and so on recursively, each level reusing the identifiers of the last, until
-the compared prefix spans the required length. Identifiers are hashes of content, so that executors
+the compared prefix spans the required length. Strings well over the required length come first, as they
+need few samples, and what they settle is left out of the second round. Identifiers are hashes of content, so that executors
 agree on them without a global sort; sorting on them groups equal prefixes.
 """
 
@@ -17,6 +18,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import DOC, KEY, TEXT, Cuts, keyed, map_batches
@@ -25,13 +27,16 @@ from .substrings import real_ids, runs
 
 MIN_BYTES = 50
 BUCKET_BYTES = 16
+#: The first round's strings are so much longer. Their runs of windows still count in eight bits.
+COARSE = 78
 
 
 def bucket_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int, table: np.ndarray, q: int = BUCKET_BYTES) -> np.ndarray:
     """Names of the byte ranges (each of q bytes or more) by recursive refinement.
 
     The name of 2h bytes is made of the name of h bytes here and that of h bytes at offset h; a range
-    between two powers takes the names at its start and at its end less h, which overlap.
+    between two powers takes the names at its start and at its end less h, which overlap. Only names
+    that some range needs are computed.
     """
     out = np.zeros(len(starts), np.uint64)
     if not len(starts):
@@ -44,19 +49,46 @@ def bucket_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: i
         j = max(i + 1, int(np.searchsorted(starts, low + K.PIECE, "left")))
         s, e = starts[i:j] - low, ends[i:j] - low
         part = data[low : low + int(e.max())]
-        at = np.arange(len(part) - q + 1)
-        name, h, got = K.hash_ranges(part, at, at + q, mult, table), q, np.zeros(j - i, np.uint64)
-        while True:
+        sums, inverse = K.prefix(table[part], mult), K.powers(mult, len(part) + 1)[1]
+
+        def name(at, h, sums=sums, inverse=inverse):
+            if h == q:
+                return K.mix((sums[at + q] - sums[at]) * inverse[at])
+            return K.mix(name(at, h // 2) * salt + name(at + h // 2, h // 2))
+
+        got, h, longest = np.zeros(j - i, np.uint64), q, int((e - s).max())
+        while h <= longest:
             fits = np.flatnonzero((e - s >= h) & (e - s < 2 * h))
-            got[fits] = K.mix(name[s[fits]] * salt + name[e[fits] - h] + (e - s)[fits].astype(np.uint64))
-            if int((e - s).max()) < 2 * h:
-                break
-            name, h = K.mix(name[:-h] * salt + name[h:]), 2 * h
+            got[fits] = K.mix(name(s[fits], h) * salt + name(e[fits] - h, h) + (e - s)[fits].astype(np.uint64))
+            h *= 2
         out[order[i:j]] = got
         i = j
     return out
 
 
+def _rest(batch: pa.RecordBatch, coarse: int, width: int) -> pa.RecordBatch | None:
+    """(key, doc, text, coarse ranges) to the pieces of bytes in which windows are still to be judged."""
+    data, offsets = K.utf8(batch.column(2))
+    at, row = unpack(batch.column(3))
+    first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    rows, begins, parts = [], [], []
+    for i in range(batch.num_rows):
+        n = int(offsets[i + 1] - offsets[i]) - width + 1
+        if n <= 0:
+            continue
+        places = at[first[i] : first[i + 1]]
+        begin = places >> 16
+        s, e = runs(~K.cover(n, np.minimum(begin, n), np.minimum(begin + (places & 255) + coarse - width, n)))
+        for a, b in zip(s.tolist(), e.tolist(), strict=True):
+            rows.append(i)
+            begins.append(a)
+            parts.append(data[offsets[i] + a : offsets[i] + b + width - 1].tobytes())
+    if not rows:
+        return None
+    rows = pa.array(rows)
+    return pa.RecordBatch.from_pydict({"key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "off": pa.array(begins, pa.int64()), "part": pa.array(parts, pa.binary())})
+
+
 def _cut(batch: pa.RecordBatch, min_bytes: int, digest: bool) -> pa.RecordBatch:
     data, offsets = K.utf8(batch.column(1))
     at, row = unpack(batch.column(2))
@@ -92,11 +124,25 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty result. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and kept_bytes
     with the removed ranges, or with ``digest`` the remaining bytes' kept_sha256 instead.
     """
-    if not 0 < bucket_bytes <= min_bytes or min_bytes - bucket_bytes >= 250:
-        raise ValueError("bucket_bytes must be in 1..min_bytes, and less than 250 below it")
+    if not 0 < bucket_bytes <= min_bytes or min_bytes - bucket_bytes + 2 * COARSE >= 255:
+        raise ValueError("bucket_bytes must be in 1..min_bytes, and less than 99 below it")
     cuts = Cuts(docs.sparkSession, "suffixes")
     texts = keyed(docs, id_col, text_col)
-    places = repeated_ranges(cuts, texts, Windows(min_bytes, bucket_bytes, words=False, earlier=True, levels=(9, 3, 1), names=partial(bucket_names, q=bucket_bytes)))
+    names = partial(bucket_names, q=bucket_bytes)
+    # first long strings, whose anchors are few: whatever lies in a longer repeat is covered and stays out of the
+    # second round, both as a window to judge and as one to compare with, as its first occurrence is never covered
+    coarse = min_bytes + COARSE
+    long = repeated_ranges(cuts, texts, Windows(coarse, bucket_bytes, words=False, earlier=True, levels=(), names=names))
+    rest = texts.join(long, texts[KEY] == long["key"], "left").select(KEY, DOC, TEXT, RANGES)
+    rest = map_batches(rest, lambda b: _rest(b, coarse, min_bytes), "key long, doc long, off long, part binary")
+    rest = cuts.write(rest.select(F.xxhash64("key", "off").alias(KEY), F.col("doc").alias(DOC), F.col("part").alias(TEXT), "key", "off"))
+    cuts.settle()
+    short = repeated_ranges(cuts, rest.select(KEY, DOC, TEXT), Windows(min_bytes, bucket_bytes, words=False, earlier=True, levels=(9, 3, 1), names=names))
+    short = short.withColumnRenamed("key", "piece").join(rest.select(KEY, "key", "off"), F.col("piece") == F.col(KEY))
+    short = short.select("key", F.transform(RANGES, lambda x: x + F.shiftleft("off", 16)).alias(RANGES))
+    long = long.select("key", F.transform(RANGES, lambda x: x + COARSE).alias(RANGES))  # as so many more windows of the lesser width
+    places = cuts.write(long.union(short).groupBy("key").agg(F.flatten(F.collect_list(RANGES)).alias(RANGES)))
+    cuts.drop(rest)
     both = texts.join(places, texts[KEY] == places["key"], "left").select(DOC, TEXT, RANGES)
     tail = "kept_sha256 string" if digest else "kept_bytes binary, removed array<struct<start:long,end:long>>"
     return map_batches(both, lambda b: _cut(b, min_bytes, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {tail}")

@@ -22,6 +22,8 @@ def corpus(seed, n=30, width=12):
             parts.append(rnd.choice(shared) if rnd.random() < 0.5 else " ".join(str(rnd.randint(0, 500)) for _ in range(rnd.randint(1, width))))
         rows.append((i * 3, rnd.choice([" ", "\n", "  "]).join(parts), "x", 1))
     rows += [(1, None, None, None), (2, "", None, None), (4, " \t ", None, 5), (None, shared[0], "y", 2), (None, shared[0], "y", 2)]
+    long = " ".join(str(rnd.randint(0, 9)) for _ in range(300))
+    rows += [(50, "x" + long, None, 1), (61, long + "y", None, 1), (62, "q" + long[100:400] + "r" + long[:90], None, 1)]
     rows += [(5, "a " * 3000, None, None), (7, rows[3][1], None, None), (rows[2][0], rows[2][1], None, None)]
     return rows
 
