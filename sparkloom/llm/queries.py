@@ -1,7 +1,7 @@
 """One query for each operator, over its whole table, with the parameters used in production.
 
-No SQL stands beside them: learned scores, fingerprints, window dedup on whole tables, components and
-sampling are not expressible in it or far too slow; tests/llm compares each with brute force instead.
+SQL stands beside those that it can express (see ``oracles``). Learned scores, fingerprints, sampling by
+hash, banded alignment, scored spans and votes it can't; tests/llm compares these with brute force.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, licenses, mixing, pii, quality, syncmers
+from . import chat, decontam, jaccard, licenses, mixing, oracles, pii, quality, syncmers
 from .common import documents
 from .substrings import dedup_substrings
 from .suffixes import dedup_suffixes
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
