@@ -232,15 +232,14 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = cuts.write(jaccard_components(docs, id_col, text_col, words, percent, keep_key=True))
     null = F.coalesce("component_id", F.lit(LAST_ID))
     kept = found.where("n_shingles > 0").groupBy(null).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)), KEY)).alias("one")).select(F.col(f"one.{KEY}").alias(OWN + "kept"))
-    # a row's place among its equals decides, so that a repeated row stays once
     key = keyed(docs, id_col, text_col, *[F.col(f"`{c}`").alias(OWN + "c" + str(i)) for i, c in enumerate(docs.columns)])
     blank = found.where("n_shingles = 0").select(F.col(KEY).alias(OWN + "kept")).distinct()
     columns = [F.col(OWN + "c" + str(i)).alias(c) for i, c in enumerate(docs.columns)]
     full = key.join(kept.union(blank), F.col(KEY) == F.col(OWN + "kept"), "left_semi")
     repeated = found.where("n_shingles > 0").groupBy(KEY).count().where("count > 1").select(F.col(KEY).alias(OWN + "many"))
+    if not repeated.head(1):
+        return full.select(*columns)
     full = full.join(repeated, F.col(KEY) == F.col(OWN + "many"), "left")
     single = full.where(F.col(OWN + "many").isNull()).select(*columns)
     several = full.where(F.col(OWN + "many").isNotNull()).dropDuplicates([KEY]).select(*columns)
     return single.union(several)
-
-
