@@ -16,6 +16,8 @@ members are then still in different components are compared in pairs of blocks.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,8 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Parts beyond the necessary number, as a share of it.
 SPARE = 0.15
-#: The signatures are handled in so many passes, which bounds the disk that their shuffle takes.
-SLICES = 2
-#: Shingles that are compared at a time, about.
-CHUNK = 100_000
+#: Shingles of a star's chunk and of a family's block, about; two blocks are compared at a time.
+CHUNK, BLOCK = 100_000, 300_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +55,7 @@ def class_hash(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
     return K.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
+@cache
 def band_limits(most: int) -> np.ndarray:
     """Least sizes of the bands, up to one above ``most``."""
     out = [1]
@@ -68,7 +69,7 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     size = len(elements)
     if not size:
         return np.zeros(0, np.uint64)
-    limits = band_limits(size * 100 // percent)
+    limits = band_limits(1 << (size * 100 // percent).bit_length())
     low, high = (int(np.searchsorted(limits, x, "right")) - 1 for x in (size, size * 100 // percent))
     mixed = K.mix(elements)
     part, third = (elements >> np.uint64(32)).astype(np.int64), (elements & np.uint64(0xFFFFFFFF)).astype(np.int64) % 3
@@ -99,20 +100,26 @@ def _base(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(class_hash(elements, at).view(np.int64))], ["key", "doc", "n", "c"])
 
 
-def _signed(batch: pa.RecordBatch, words: int, percent: int, part: int, slices: int) -> pa.RecordBatch:
+def slices(percent: int) -> int:
+    """Passes in which signatures are handled, so that their shuffle stays near the size of the texts: a
+    lower similarity has more signatures."""
+    return 1 if percent >= 90 else 2
+
+
+def _signed(batch: pa.RecordBatch, words: int, percent: int, part: int, parts: int) -> pa.RecordBatch:
     elements, at = shingle_sets(batch.column(0), words)
     names = class_hash(elements, at)
     sigs, nodes = [], []
     for i in range(batch.num_rows):
         own = signatures(elements[at[i] : at[i + 1]], percent)
-        own = own[own % np.uint64(slices) == part]
+        own = own[own % np.uint64(parts) == part] if parts > 1 else own
         sigs.append(own)
         nodes.append(np.full(len(own), names[i]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes)], ["sig", "c"])
 
 
-def similar(elements: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets link: a boolean matrix. Shared elements are counted by products of incidence matrices."""
+def similar(elements: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of sets that link. Shared elements are counted by products of incidence matrices."""
     m, sizes = len(at) - 1, np.diff(at)
     owner = np.repeat(np.arange(m), sizes)
     _, where, count = np.unique(elements, return_inverse=True, return_counts=True)
@@ -122,15 +129,21 @@ def similar(elements: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     owner, column = owner[keep], number[where[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((m, m), np.float64)
-    for low in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [low, low + 4096])
-        x = np.zeros((m, 4096), np.float32)
+    both = np.zeros((m, m), np.float32)  # exact up to 2^24 shared elements
+    for low in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, [low, low + 2048])
+        x = np.zeros((m, 2048), np.float32)
         x[owner[a:b], column[a:b] - low] = 1
-        both += x @ x.T
-    both = both.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    return (100 * both >= percent * union) & (union > 0)
+        some = np.flatnonzero(x.any(axis=1))
+        x = x[some]
+        both[np.ix_(some, some)] += x @ x.T
+    left, right = [], []
+    for i in range(m):
+        common = both[i, i + 1 :].astype(np.int64)
+        found = np.flatnonzero((100 * common >= percent * (sizes[i] + sizes[i + 1 :] - common)) & (common > 0))
+        left.append(np.full(len(found), i))
+        right.append(found + i + 1)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _verify(table: pa.Table, words: int, percent: int) -> pa.Table:
@@ -140,7 +153,7 @@ def _verify(table: pa.Table, words: int, percent: int) -> pa.Table:
     u, v = [], []
     if len(set(comp.tolist())) > 1:
         elements, at = shingle_sets(text, words)
-        near = np.triu(similar(elements, at, percent), 1)
+        near = similar(elements, at, percent)
         root = {x: x for x in comp.tolist()}
 
         def top(x):
@@ -148,7 +161,7 @@ def _verify(table: pa.Table, words: int, percent: int) -> pa.Table:
                 root[x] = x = root[root[x]]
             return x
 
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        for i, j in zip(*(x.tolist() for x in near), strict=True):
             a, b = top(comp[i]), top(comp[j])
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -161,8 +174,8 @@ def link_classes(cuts: Cuts, texts: DataFrame, base: DataFrame, words: int, perc
     """(node, label) of the classes that link with others."""
     spark = texts.sparkSession
     members = None
-    for part in range(SLICES):
-        rows = map_batches(texts.select(TEXT), lambda b, part=part: _signed(b, words, percent, part, SLICES), "sig long, c long")
+    for part in range(slices(percent)):
+        rows = map_batches(texts.select(TEXT), lambda b, part=part: _signed(b, words, percent, part, slices(percent)), "sig long, c long")
         # copies of one text would count as several: a class counts once for each signature and partition at least
         live = cuts.write(rows.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("most")).where("m < most").select("sig", "m"))
         found = cuts.write(rows.join(live, "sig").distinct())
@@ -186,17 +199,19 @@ def link_classes(cuts: Cuts, texts: DataFrame, base: DataFrame, words: int, perc
     first = verified(chunked.union(centres).withColumn("comp", F.col("c")), "m", "chunk")
     labels = cuts.write(components(cuts, first))
 
-    # second round: what the stars left apart; signatures with the same members are one
-    again = members.join(labels, members["c"] == labels["node"], "left").select("sig", "c", F.coalesce("label", "c").alias("comp"))
-    apart = again.join(sizes, "c").groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.sum("n").alias("sum"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("who"))
-    apart = apart.where("a < b and size > 2").groupBy("who", "size", "sum").agg(F.min("sig").alias("sig"))
-    apart = apart.select("sig", F.ceil(F.col("sum") / CHUNK).cast("int").alias("blocks"))
-    blocks = again.join(apart, "sig").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("sig", "c", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.select("sig", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    second = verified(blocks, "sig", "i", "j")
+    # second round: signatures whose members, but for the star's centre, are still apart. Members that such
+    # signatures connect are a family; its pairs of blocks are compared once, however many signatures it has
+    again = members.where("c <> m").join(labels, F.col("c") == F.col("node"), "left").select("sig", "c", F.coalesce("label", "c").alias("comp"))
+    apart = again.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("c").alias("least")).where("a < b").select("sig", "least")
+    families = components(cuts, again.join(apart, "sig").select(F.col("c").alias("u"), F.col("least").alias("v")))
+    families = cuts.write(families.join(sizes, F.col("node") == F.col("c")).select("c", F.col("label").alias("family"), "n"))
+    blocks = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    blocks = blocks.select("family", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = blocks.join(labels, F.col("c") == F.col("node"), "left").select("family", "c", F.coalesce("label", "c").alias("comp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    second = verified(blocks, "family", "i", "j")
     out = cuts.write(components(cuts, first.union(second)))
-    for frame in (stars, body, first, second, labels):
+    for frame in (stars, body, first, second, labels, families):
         cuts.drop(frame)
     return out
 
