@@ -94,11 +94,13 @@ def with_next(rows: DataFrame, doc: str, tie: str, *columns: str, buckets: int |
     rows = rows.join(F.broadcast(copied), (F.col(doc) == F.col(at)) & (F.col(tie) == F.col(at + "t")), "left")
     own = F.struct(F.col(bucket).alias("b"), F.lit(0).alias("f"))
     more = F.struct(F.col(after).alias("b"), F.lit(1).alias("f"))
-    rows = rows.withColumn(flag, F.explode(F.when(F.col(after).isNull(), F.array(own)).otherwise(F.array(own, more))))
-    window = Window.partitionBy(flag + ".b").orderBy(flag + ".f", F.desc(doc), F.desc(tie))
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(window))
-    return rows.where(F.col(flag + ".f") == 0).drop(bucket, flag, at, at + "t", after)
+    kept = [c for c in rows.columns if c not in (bucket, at, at + "t", after)]
+    rows = rows.select(*kept, F.explode(F.when(F.col(after).isNull(), F.array(own)).otherwise(F.array(own, more))).alias(flag))
+    # plain columns and one selection, so that one window over one shuffle gives all the values
+    rows = rows.select(*kept, F.col(flag + ".b").alias(bucket), F.col(flag + ".f").alias(at))
+    window = Window.partitionBy(bucket).orderBy(at, F.desc(doc), F.desc(tie))
+    rows = rows.select(*kept, at, *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    return rows.where(F.col(at) == 0).drop(at)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
