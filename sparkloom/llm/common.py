@@ -71,7 +71,6 @@ class Cuts:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
@@ -81,11 +80,11 @@ class Cuts:
         del df
         self.settle()
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
+        out.__dict__[OWN + "path"] = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
+        path = df.__dict__.pop(OWN + "path", None)
         if path:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -41,7 +41,8 @@ class Windows:
     q: int
     words: bool
     earlier: bool
-    #: Windows in a block, level by level; the last is 1. Without levels only whole segments are settled.
+    #: Windows in a block, level by level; the last is 1, and words have that only. Without levels only
+    #: whole segments are settled.
     levels: tuple[int, ...] = (1,)
     #: Gives token ranges 64-bit names, equal for equal content.
     names: Callable = K.hash_ranges
@@ -111,23 +112,40 @@ def _segments(batch: pa.RecordBatch, win: Windows) -> pa.RecordBatch:
     return _rows(batch, both.flatten().field("a").take(pa.array(order)), content, row, at)
 
 
-def _blocks(batch: pa.RecordBatch, win: Windows, size: int) -> pa.RecordBatch:
+def _blocks(batch: pa.RecordBatch, win: Windows, size: int, last: bool) -> pa.RecordBatch:
     """(key, doc, text, places) to blocks of ``size`` windows, aligned on the anchor."""
     tokens, offsets, table = win.tokens(batch.column(2))
     at, row = unpack(batch.column(3))
+    return _split(batch, tokens, table, at, row, (at >> 16) + offsets[row], win, size, last)
+
+
+def _smaller(batch: pa.RecordBatch, win: Windows, size: int, last: bool) -> pa.RecordBatch:
+    """(key, doc, place, its own bytes) to blocks of ``size`` windows; the text isn't needed again."""
+    data, offsets = K.utf8(batch.column(3))
+    at = batch.column(2).to_numpy(zero_copy_only=False)
+    return _split(batch, data, K.BYTE_VALUES, at, np.arange(batch.num_rows), offsets[:-1], win, size, last)
+
+
+def _split(batch, tokens, table, at, row, origin, win: Windows, size: int, last: bool) -> pa.RecordBatch:
+    """``origin`` is where each place's first window starts among the tokens."""
     first, off, count = at >> 16, at >> 8 & 255, at & 255
     low = (off - count + 1) // size
     counts = off // size - low + 1
-    anchor, high_off, low_off = (np.repeat(x, counts) for x in (first + off, off, off - count + 1))
+    place, anchor, high_off, low_off = (np.repeat(x, counts) for x in (first + off, origin + off, off, off - count + 1))
     row = np.repeat(row, counts)
     block = np.repeat(low, counts) + K.ranges(counts)
     high, least = np.minimum(high_off, block * size + size - 1), np.maximum(low_off, block * size)
-    at = _pack(anchor - high, high, high - least + 1)
-    core = anchor - block * size + offsets[row]
+    at = _pack(place - high, high, high - least + 1)
+    core = anchor - block * size
     bucket = win.names(tokens, core, core - size + 1 + win.width, K.MULTS[1], table) + K.mix(block.astype(np.uint64) + np.uint64(1))
-    start = anchor - high + offsets[row]
-    content = win.names(tokens, start, start + high - least + win.width, K.MULTS[2], table)
-    return _rows(batch, _signed(bucket), content, row, at)
+    start, end = anchor - high, anchor - least + win.width
+    out = _rows(batch, _signed(bucket), win.names(tokens, start, end, K.MULTS[2], table), row, at)
+    if last:
+        return out
+    sizes = end - start
+    bytes_ = tokens[np.repeat(start, sizes) + K.ranges(sizes)]
+    own = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(bytes_)])
+    return pa.RecordBatch.from_arrays([*out.columns, own], [*out.schema.names, "own"])
 
 
 def _with_places(texts: DataFrame, places: DataFrame, *more: str) -> DataFrame:
@@ -138,22 +156,27 @@ def _with_places(texts: DataFrame, places: DataFrame, *more: str) -> DataFrame:
 
 def _settle(cuts: Cuts, rows: DataFrame, win: Windows, last: bool):
     """(repeated places, places to split) among the members of buckets."""
-    classes = rows.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    own = ["own"] if "own" in rows.columns else []
+    classes = cuts.write(rows.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high")))
     buckets = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most"))
     whole, parts = ("low < high", "least < most and (low < high or kinds > 1)") if win.earlier else ("times > 1", "times > 1 or kinds > 1")
     named = classes.join(buckets, "a").where(whole if last else parts)
     named = cuts.write(named.select("a", "c", "n", "times", "low", "least", (F.col("kinds") > 1).alias("mixed")))
-    placed = cuts.write(rows.join(named, ["a", "c", "n"]).select("a", "c", "n", "key", "doc", "at", "times", "low", "least", "mixed"))
-    cuts.drop(named)
-    done = cuts.write(placed.where("doc > low" if win.earlier else "times > 1").select("key", "at"))
+    cuts.drop(classes)
     if last:
-        cuts.drop(placed)
+        done = rows.join(named, ["a", "c", "n"]).where("doc > low" if win.earlier else "times > 1").select("key", "at")
+        done = cuts.write(done)
+        cuts.drop(named)
         return done, None
-    one = placed.where("mixed").groupBy("a", "c", "n").agg(F.min(F.struct("doc", "key", "at")).alias("one"))
-    left = one.select("one.key", "one.at")
+    placed = cuts.write(rows.join(named, ["a", "c", "n"]).select("a", "c", "n", "key", "doc", "at", "times", "low", "least", "mixed", *own))
+    cuts.drop(named)
+    done = cuts.write(placed.where("doc > low" if win.earlier else "times > 1").select("key", "at"))
+    one = placed.where("mixed").groupBy("a", "c", "n").agg(F.min(F.struct("doc", "key", "at", *own)).alias("one"))
+    kept = ["key", "doc", "at", *own]
+    left = one.select(*[f"one.{c}" for c in kept])
     if win.earlier:  # all places in the least text of a class, if another class of the bucket has a smaller one
-        left = left.union(placed.where("mixed and doc = low and low > least").select("key", "at"))
-    left = cuts.write(left)
+        left = left.union(placed.where("mixed and doc = low and low > least").select(*kept))
+    left = cuts.write(left.dropDuplicates(["key", "at"]) if own else left)
     cuts.drop(placed)
     return done, left
 
@@ -178,11 +201,17 @@ def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
     done, left = _settle(cuts, rows, win, last=not win.levels)
     cuts.drop(rows)
     found = [done]
-    for size in win.levels:
-        rows = cuts.write(map_batches(_with_places(texts, left), lambda b, size=size: _blocks(b, win, size), ROWS))
+    for i, size in enumerate(win.levels):
+        last = i == len(win.levels) - 1
+        schema = ROWS if last else ROWS + ", own binary"
+        if i:
+            rows = map_batches(left.select("key", "doc", "at", "own"), lambda b, size=size, last=last: _smaller(b, win, size, last), schema)
+        else:
+            rows = map_batches(_with_places(texts, left), lambda b, size=size, last=last: _blocks(b, win, size, last), schema)
+        rows = cuts.write(rows)
         cuts.drop(left)
         cuts.settle()
-        done, left = _settle(cuts, rows, win, last=size == win.levels[-1])
+        done, left = _settle(cuts, rows, win, last)
         cuts.drop(rows)
         found.append(done)
     every = found[0]
