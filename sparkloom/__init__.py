@@ -13,6 +13,7 @@ _WHERE = {
     "sparkloom.operators.aggregates": ("AggregateMode",),
     "sparkloom.operators.partitioning": ("Partitioning",),
     "sparkloom.sources.custom": ("TableProvider",),
+    "sparkloom.remote": ("DistributedConfig", "ExecutorConfig", "Endpoint", "connect", "start_server"),
     "sparkloom.errors": ("EngineError", "PlanError", "NotImplementedInEngine", "SchemaError", "IoError"),
 }
 _HOME = {name: module for module, names in _WHERE.items() for name in names}

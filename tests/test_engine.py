@@ -205,6 +205,12 @@ def test_observation(session):
     assert read().sum("output_rows") == 4 and M.estimated_bytes(df) > 0
 
 
+def test_cluster_configuration():
+    c = sl.DistributedConfig(executors=3, executor=sl.ExecutorConfig(2, 512))
+    assert c.partitions == 6 and c.master_url() == "local-cluster[3,2,512]" and c.settings()["target_partitions"] == "6"
+    assert sl.DistributedConfig(master="spark://h:7077", default_partitions=9).partitions == 9 and str(sl.Endpoint("h", 1)) == "sc://h:1"
+
+
 def test_builder(spark):
     s = SessionBuilder().with_spark(spark).with_config(batch_size=7).with_setting("x", 1).build()
     assert s.batch_size == 7 and SessionBuilder.of(s).build().settings["x"] == "1"
