@@ -307,8 +307,40 @@ def _aggregate(name: str):
 min, max, sum, avg, count, count_distinct = map(_aggregate, AGGREGATES)  # noqa: A001
 
 
-def dtype(df: DataFrame, column: Column) -> T.DataType:
-    return df.select(column).schema[0].dataType
+def _known(e: Expr, df: DataFrame) -> T.DataType | None:
+    """The type of an expression as far as it follows from the schema alone; None leaves it to Spark."""
+    match e.kind:
+        case "column" | "index":
+            return df.schema[e.value].dataType
+        case "literal":
+            if e.type:
+                return spark_type(e.type)
+            kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
+            return T.DoubleType() if isinstance(e.value, int) and not -(1 << 63) <= e.value < 1 << 63 else kinds.get(type(e.value))
+        case "cast" | "try_cast":
+            return spark_type(e.type)
+        case "alias" | "negative" | "selected":
+            return _known(e.args[0], df)
+        case "not" | "is_null" | "is_not_null":
+            return T.BooleanType()
+        case "binary" if e.value in NUMERICAL:
+            a, b = (_known(x, df) for x in e.args)
+            if isinstance(a, INTEGRAL) and isinstance(b, INTEGRAL):
+                return T.LongType() if e.value == "div" else max_by_width(a, b)
+            if any(isinstance(x, (T.FloatType, T.DoubleType)) for x in (a, b)) and a is not None and b is not None:
+                return a if a == b else T.DoubleType()
+        case "binary" if e.value in COMPARISONS or e.value in ("and", "or", "distinct", "not_distinct"):
+            return T.BooleanType()
+    return None
+
+
+def max_by_width(a: T.DataType, b: T.DataType) -> T.DataType:
+    return a if INTEGRAL.index(type(a)) >= INTEGRAL.index(type(b)) else b
+
+
+def dtype(df: DataFrame, column: Column, e: Expr | None = None) -> T.DataType:
+    known = _known(e, df) if e is not None else None
+    return known if known is not None else df.select(column).schema[0].dataType
 
 
 def _compile(e: Expr, df: DataFrame) -> Column:
@@ -330,7 +362,7 @@ def _compile(e: Expr, df: DataFrame) -> Column:
     a = [_compile(x, df) for x in e.args]
     match e.kind:
         case "binary":
-            return _binary(e.value, *a, df)
+            return _binary(e.value, *a, df, *e.args)
         case "not":
             return ~a[0]
         case "negative":
@@ -368,17 +400,17 @@ def _literal(e: Expr) -> Column:
     return F.lit(float(v))
 
 
-def _truth(c: Column, df: DataFrame) -> Column:
+def _truth(c: Column, df: DataFrame, e: Expr) -> Column:
     """An integer operand of AND and OR is true where it is 1."""
-    return (c == 1) if isinstance(dtype(df, c), INTEGRAL) else c
+    return (c == 1) if isinstance(dtype(df, c, e), INTEGRAL) else c
 
 
-def _binary(op: str, a: Column, b: Column, df: DataFrame) -> Column:
+def _binary(op: str, a: Column, b: Column, df: DataFrame, left: Expr, right: Expr) -> Column:
     match op:
         case "and":
-            return _truth(a, df) & _truth(b, df)
+            return _truth(a, df, left) & _truth(b, df, right)
         case "or":
-            return _truth(a, df) | _truth(b, df)
+            return _truth(a, df, left) | _truth(b, df, right)
         case "eq":
             return a == b
         case "neq":
@@ -392,7 +424,7 @@ def _binary(op: str, a: Column, b: Column, df: DataFrame) -> Column:
         case "gteq":
             return a >= b
         case "add" | "subtract" | "mult" | "div" | "mod":
-            return _arithmetic(op, a, b, df)
+            return _arithmetic(op, a, b, dtype(df, a, left), dtype(df, b, right))
         case "distinct":
             return ~a.eqNullSafe(b)
         case "not_distinct":
@@ -421,8 +453,7 @@ def _binary(op: str, a: Column, b: Column, df: DataFrame) -> Column:
     raise SchemaError(f"unknown operator {op}")
 
 
-def _arithmetic(op: str, a: Column, b: Column, df: DataFrame) -> Column:
-    left, right = dtype(df, a), dtype(df, b)
+def _arithmetic(op: str, a: Column, b: Column, left: T.DataType, right: T.DataType) -> Column:
     dates = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType)
     if not isinstance(left, dates) and not isinstance(right, dates):
         whole = isinstance(left, INTEGRAL) and isinstance(right, INTEGRAL)
