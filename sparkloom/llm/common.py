@@ -103,6 +103,13 @@ class Cuts:
         time.sleep(0.15)
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is either a centre or hangs on one centre only."""
+    twice = edges.groupBy("u").count().where("count > 1")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    return not twice.head(1) and not inner.head(1)
+
+
 def components(cuts: Cuts, edges: DataFrame) -> DataFrame:
     """(node, label): label is the least node that undirected edges (u, v) connect node with.
 
@@ -110,12 +117,7 @@ def components(cuts: Cuts, edges: DataFrame) -> DataFrame:
     and ends in a written cut. The number of rounds grows with the logarithm of a component's size.
     """
     now = cuts.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == state or not state[0]:
-            break
-        before = state
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
