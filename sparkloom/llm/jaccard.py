@@ -10,8 +10,8 @@ parts beyond the necessary number allow a set to leave out its empty signatures
 its parts have one than must agree; else it keeps them.
 
 Signatures that a single class has are dropped by a count with map-side aggregation. Pairs are never
-emitted: the members of a signature are compared with the least of them, in chunks; signatures whose
-members are then still in different components are compared in pairs of blocks.
+emitted: classes connected by signatures form families, which are dealt into blocks; a block is compared
+in itself, and pairs of blocks only where a family of several is then still in different components.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Parts beyond the necessary number, as a share of it.
 SPARE = 0.15
-#: Shingles of a star's chunk and of a family's block, about; two blocks are compared at a time.
-CHUNK, BLOCK = 100_000, 300_000
+#: Shingles of a family's block, about; two blocks are compared at a time.
+BLOCK = 300_000
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,26 +192,25 @@ def link_classes(cuts: Cuts, texts: DataFrame, base: DataFrame, words: int, perc
         rows = groups.join(body, "c").select(*by, "c", "comp", "text")
         return cuts.write(rows.groupBy(*by).applyInArrow(lambda t: _verify(t, words, percent), "u long, v long"))
 
-    # first round: each star in chunks of a bounded number of shingles, its centre in each of them
-    sums = stars.join(sizes, "c").groupBy("m").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
-    chunked = stars.join(sums, "m").select("m", "c", F.pmod(F.xxhash64("c"), F.col("chunks")).alias("chunk"))
-    centres = chunked.select("m", F.col("m").alias("c"), "chunk").distinct()
-    first = verified(chunked.union(centres).withColumn("comp", F.col("c")), "m", "chunk")
-    labels = cuts.write(components(cuts, first))
-
-    # second round: signatures whose members, but for the star's centre, are still apart. Members that such
-    # signatures connect are a family; its pairs of blocks are compared once, however many signatures it has
-    again = members.where("c <> m").join(labels, F.col("c") == F.col("node"), "left").select("sig", "c", F.coalesce("label", "c").alias("comp"))
-    apart = again.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("c").alias("least")).where("a < b").select("sig", "least")
-    families = components(cuts, again.join(apart, "sig").select(F.col("c").alias("u"), F.col("least").alias("v")))
+    # members that signatures connect are a family. It is dealt into blocks of a bounded number of shingles;
+    # nearly all families are one block, and each of their texts moves once, however many signatures it has
+    families = components(cuts, stars.select(F.col("c").alias("u"), F.col("m").alias("v")))
     families = cuts.write(families.join(sizes, F.col("node") == F.col("c")).select("c", F.col("label").alias("family"), "n"))
     blocks = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("family", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.join(labels, F.col("c") == F.col("node"), "left").select("family", "c", F.coalesce("label", "c").alias("comp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    second = verified(blocks, "family", "i", "j")
+    blocks = cuts.write(families.join(blocks, "family").select("family", "c", "blocks", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("own")))
+    # first round: each block in itself, with the family's least member in each of its blocks
+    centres = blocks.where("c = family and blocks > 1").select("family", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    alone = blocks.select("family", "c", "own").union(centres).distinct().withColumn("comp", F.col("c"))
+    first = verified(alone, "family", "own")
+    labels = cuts.write(components(cuts, first))
+    # second round: pairs of blocks, where a family of several is still apart
+    several = blocks.where("blocks > 1").join(labels, F.col("c") == F.col("node"), "left").select("family", "c", "own", "blocks", F.coalesce("label", "c").alias("comp"))
+    apart = several.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("family")
+    pairs = several.join(apart, "family").select("family", "c", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other")
+    pairs = pairs.select("family", "c", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    second = verified(pairs, "family", "i", "j")
     out = cuts.write(components(cuts, first.union(second)))
-    for frame in (stars, body, first, second, labels, families):
+    for frame in (stars, body, first, second, labels, families, blocks):
         cuts.drop(frame)
     return out
 

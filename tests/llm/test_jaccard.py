@@ -53,7 +53,6 @@ def corpus(seed):
 
 def test_components(spark, monkeypatch):
     for seed, n, percent, chunk in ((1, 3, 90, 100_000), (2, 5, 80, 300)):
-        monkeypatch.setattr(jaccard, "CHUNK", chunk)
         monkeypatch.setattr(jaccard, "BLOCK", chunk)
         rows = corpus(seed)
         df = spark.createDataFrame(rows, IN).repartition(4)
