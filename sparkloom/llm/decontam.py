@@ -1,15 +1,17 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Each benchmark item is cut into patterns of WINDOW bytes, STRIDE apart and one at its end; a shorter
-item is one pattern. A text is contaminated if some region of it is within floor(EDIT_RATE * m) edits
-of a pattern of m bytes (bytes compared with A-Z as a-z). By the q-gram lemma such a region shares at
-least m - q + 1 - q * e q-grams with the pattern, on diagonals that differ by e at most: q-grams are
-counted in overlapping bands of diagonals, bands below the bound are dropped without loss, and the
-rest are verified by banded alignment.
+The patterns of a benchmark item are all its windows of WINDOW bytes, one at each offset; a shorter item
+is one pattern. A text is contaminated if some region of it is within floor(EDIT_RATE * m) edits of a
+pattern of m bytes (bytes compared with A-Z as a-z). By the q-gram lemma such a region shares at least
+m - q + 1 - q * e q-grams with the pattern, on diagonals that differ by e at most: the q-grams of whole
+items are counted in overlapping bands of diagonals, windows of a band with fewer than the bound are
+dropped without loss, and the rest are verified by banded alignment.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,45 +21,62 @@ from . import kernels as K
 from .common import OWN, bounded_batches
 
 Q = 12
-WINDOW, STRIDE = 96, 48
+WINDOW = 96
 EDIT_RATE = 0.05
 #: Items of fewer bytes don't identify a leak and are ignored.
 MIN_ITEM = 32
 #: Bytes of benchmark text that an executor holds an index of at a time; a larger benchmark takes more passes.
 BLOCK_BYTES = 2 << 20
 _BITS = 22
+#: Shared q-grams and alignments that are held at a time, about.
+HITS, ALIGNED = 1 << 21, 4096
 
 
 class Patterns:
-    """The index of one block of items: patterns, their edit budgets, and the places of their q-grams."""
-
-    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE, least: int = MIN_ITEM):
-        self.q, self.items, self.texts = q, [], []
-        for item, text in items:
-            raw = K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            if len(raw) < max(least, q):
-                continue
-            starts = sorted({*range(0, max(1, len(raw) - window + 1), stride), max(0, len(raw) - window)})
-            self.items += [item] * len(starts)
-            self.texts += [raw[s : s + window] for s in starts]
-        sizes = np.array([len(t) for t in self.texts], np.int64)
+    """The index of one block of items: edit budgets of their windows, and the places of their q-grams."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE, least: int = MIN_ITEM):
+        raws = [(item, K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]) for item, text in items]
+        long = [(item, raw) for item, raw in raws if len(raw) >= max(least, q)]
+        self.q, self.ids = q, [item for item, _ in long]
+        lengths = np.array([len(raw) for _, raw in long], np.int64)
+        self.sizes = np.minimum(lengths, window)
+        self.starts = lengths - self.sizes + 1
         # an edit budget that leaves no q-gram to share can't be filtered; short patterns get a smaller one
-        self.budget = np.minimum((sizes * rate).astype(np.int64), np.maximum((sizes - q) // q, 0))
-        self.bound = sizes - q + 1 - q * self.budget
-        self.sizes = sizes
-        flat = np.concatenate(self.texts) if self.texts else np.zeros(0, np.uint8)
-        begin = np.append(0, np.cumsum(sizes)).astype(np.int64)
-        counts = sizes - q + 1
-        pattern = np.repeat(np.arange(len(sizes)), counts)
+        self.edits = np.minimum((self.sizes * rate).astype(np.int64), np.maximum((self.sizes - q) // q, 0))
+        self.bound = self.sizes - q + 1 - q * self.edits
+        self.flat = np.concatenate([raw for _, raw in long]) if long else np.zeros(0, np.uint8)
+        self.begin = np.append(0, np.cumsum(lengths)).astype(np.int64)
+        counts = lengths - q + 1
+        item = np.repeat(np.arange(len(lengths)), counts)
         at = K.ranges(counts) if len(counts) else np.zeros(0, np.int64)
-        grams = grams_of(flat, q)[begin[pattern] + at] if len(pattern) else np.zeros(0, np.uint64)
+        grams = grams_of(self.flat, q)[self.begin[item] + at] if len(item) else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
-        self.pattern, self.at = pattern[order], at[order]
+        self.item, self.at = item[order], at[order]
         self.grams, self.first = np.unique(grams[order], return_index=True)
         self.last = np.append(self.first[1:], len(order))
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    @cached_property
+    def _windows(self) -> list[tuple[int | None, np.ndarray, int]]:
+        return [(self.ids[i], self.flat[b : b + self.sizes[i]], int(self.edits[i])) for i in range(len(self.ids)) for b in range(self.begin[i], self.begin[i] + self.starts[i])]
+
+    @cached_property
+    def items(self) -> list[int | None]:
+        """The item of each pattern."""
+        return [w[0] for w in self._windows]
+
+    @cached_property
+    def texts(self) -> list[np.ndarray]:
+        """The bytes of each pattern; the search itself doesn't list them."""
+        return [w[1] for w in self._windows]
+
+    @cached_property
+    def budget(self) -> list[int]:
+        """The edit budget of each pattern."""
+        return [w[2] for w in self._windows]
+
 
 def grams_of(data: np.ndarray, q: int) -> np.ndarray:
     """The hash of each q-gram of bytes."""
@@ -80,8 +99,8 @@ def aligned(patterns: np.ndarray, regions: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def _candidates(data: np.ndarray, offsets: np.ndarray, index: Patterns):
-    """(text, pattern, lowest diagonal) of the bands that meet the bound."""
+def _hits(data: np.ndarray, offsets: np.ndarray, index: Patterns):
+    """Places of the q-grams that the texts share with items: (byte, number of the q-gram, text)."""
     q = index.q
     grams = grams_of(data, q)
     hit = np.flatnonzero(index.maybe[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -92,46 +111,94 @@ def _candidates(data: np.ndarray, offsets: np.ndarray, index: Patterns):
     hit, where = hit[known], where[known]
     text = np.searchsorted(offsets, hit, "right") - 1
     whole = hit + q <= offsets[text + 1]
-    hit, where, text = hit[whole], where[whole], text[whole]
+    return hit[whole], where[whole], text[whole]
+
+
+def _candidates(hit: np.ndarray, where: np.ndarray, text: np.ndarray, offsets: np.ndarray, index: Patterns):
+    """(text, item, lowest diagonal, first and last start) of runs of windows that meet the bound, with
+    the q-grams of their bands."""
     counts = index.last[where] - index.first[where]
     place = np.repeat(index.first[where], counts) + K.ranges(counts)
-    pattern, at = index.pattern[place], index.at[place]
+    item, at = index.item[place], index.at[place]
     text = np.repeat(text, counts)
-    diagonal = np.repeat(hit, counts) - offsets[text] - at + WINDOW
-    step = index.budget[pattern] + 1  # bands of two steps, one apart: e + 1 neighbouring diagonals share one
-    band = diagonal // step
-    pattern, text, band = (np.concatenate([x, x]) for x in (pattern, text, band))
-    band[len(band) // 2 :] -= 1
-    key = np.stack([text, pattern, band])
-    order = np.lexsort((key[2], key[1], key[0]))
-    key = key[:, order]
-    new = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if key.shape[1] else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, key.shape[1]))
-    text, pattern, band = key[:, new][:, count >= index.bound[key[1, new]]]
-    return text, pattern, band * (index.budget[pattern] + 1) - WINDOW
+    diagonal = np.repeat(hit, counts) - offsets[text] - at
+    band = diagonal // (index.edits[item] + 1)  # bands of two steps, one apart: e + 1 neighbouring diagonals share one
+    pair = text * len(index.ids) + item
+    least, span = band.min() - 1, band.max() - band.min() + 2
+    key = np.concatenate([pair * span + band - least, pair * span + band - 1 - least])
+    order = np.argsort(key)
+    new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    count = np.diff(np.append(new, len(key)))
+    enough = np.repeat(count >= index.bound[item[order[new] % len(item)]], count)
+    order = order[enough]
+    order = order[np.lexsort((at[order % len(at)], key[order]))]
+    key, at, item, text = key[order], at[order % len(at)], item[order % len(item)], text[order % len(text)]
+    if not len(key):
+        return [np.zeros(0, np.int64)] * 6
+    # a window meets the bound if it covers some q-gram of the band and the one that is bound - 1 later
+    end = np.arange(len(key)) + index.bound[item] - 1
+    inside = end < len(key)
+    end = np.minimum(end, len(key) - 1)
+    reach = index.sizes[item] - index.q
+    good = inside & (key[end] == key) & (at[end] - at <= reach)
+    low, high = np.maximum(at[end] - reach, 0), np.minimum(at, index.starts[item] - 1)
+    good &= low <= high
+    key, item, text, low, high = (x[good] for x in (key, item, text, low, high))
+    if not len(key):
+        return [np.zeros(0, np.int64)] * 6
+    # both ends ascend within a band: runs that touch are one
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1)))
+    count = np.diff(np.append(new, len(key)))
+    last = new + count - 1
+    return text[new], item[new], (key[new] % span + least) * (index.edits[item[new]] + 1), low[new], high[last], count
+
+
+def _verified(data: np.ndarray, offsets: np.ndarray, index: Patterns, text, item, low, start) -> np.ndarray:
+    """Whether the window of each item at each start is within its budget, on the band's diagonals."""
+    out = np.zeros(len(text), bool)
+    sizes, edits = index.sizes[item], index.edits[item]
+    for m, e in np.unique(np.stack([sizes, edits]), axis=1).T.tolist():
+        mine = np.flatnonzero((sizes == m) & (edits == e))
+        for i in range(0, len(mine), ALIGNED):
+            part = mine[i : i + ALIGNED]
+            at = (low[part] + start[part])[:, None] + np.arange(m + 2 * e + 1)[None, :]
+            inside = (at >= 0) & (at < (offsets[1:] - offsets[:-1])[text[part]][:, None])
+            regions = np.where(inside, data[np.clip(offsets[text[part]][:, None] + at, 0, len(data) - 1)], 256).astype(np.int16)
+            rows = index.flat[(index.begin[item[part]] + start[part])[:, None] + np.arange(m)[None, :]].astype(np.int16)
+            out[part] = aligned(rows, regions) <= e
+    return out
 
 
 def leaks(data: np.ndarray, offsets: np.ndarray, index: Patterns) -> list[tuple[int, int]]:
-    """Verified (text, pattern) pairs, distinct and sorted."""
+    """Verified (text, number of the item) pairs, distinct and sorted."""
     if not len(index.grams) or not len(data):
         return []
-    text, pattern, low = _candidates(data, offsets, index)
-    found = set()
-    for m in np.unique(index.sizes[pattern]).tolist():
-        for e in np.unique(index.budget[pattern[index.sizes[pattern] == m]]).tolist():
-            mine = np.flatnonzero((index.sizes[pattern] == m) & (index.budget[pattern] == e))
-            for i in range(0, len(mine), 4096):
-                part = mine[i : i + 4096]
-                start = low[part] - e
-                span = np.arange(m + 4 * e + 2)
-                at = start[:, None] + span[None, :]
-                size = (offsets[1:] - offsets[:-1])[text[part]][:, None]
-                inside = (at >= 0) & (at < size)
-                regions = np.where(inside, data[np.clip(offsets[:-1][text[part]][:, None] + at, 0, len(data) - 1)], 256).astype(np.int16)
-                rows = np.stack([index.texts[p] for p in pattern[part]]).astype(np.int16)
-                good = part[aligned(rows, regions) <= e]
-                found |= set(zip(text[good].tolist(), pattern[good].tolist(), strict=True))
-    return sorted(found)
+    hit, where, owner = _hits(data, offsets, index)
+    before = np.append(0, np.cumsum(index.last[where] - index.first[where]))
+    found, i = np.zeros(0, np.int64), 0
+    while i < len(hit):
+        # a slice takes up the bytes before it that a region may begin in
+        j = max(i + 1, int(np.searchsorted(before, before[i] + HITS, "right")) - 1)
+        k = int(np.searchsorted(hit, hit[i] - 2 * int(index.sizes.max())))
+        text, item, low, first, last, count = _candidates(hit[k:j], where[k:j], owner[k:j], offsets, index)
+        pair = text * len(index.ids) + item
+        # the middle of each pair's strongest run first: a whole leak needs no more
+        order = np.lexsort((-count, pair))
+        best = order[np.append(True, pair[order][1:] != pair[order][:-1])] if len(order) else order
+        good = _verified(data, offsets, index, text[best], item[best], low[best], (first[best] + last[best]) // 2)
+        found = np.union1d(found, pair[best[good]])
+        rest = np.flatnonzero(~np.isin(pair, found))
+        sizes = last[rest] - first[rest] + 1
+        upto = np.append(0, np.cumsum(sizes))
+        a = 0
+        while a < len(rest):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + 16 * ALIGNED, "right")) - 1)
+            run = np.repeat(rest[a:b], sizes[a:b])
+            good = _verified(data, offsets, index, text[run], item[run], low[run], first[run] + K.ranges(sizes[a:b]))
+            found = np.union1d(found, pair[run[good]])
+            a = b
+        i = j
+    return [divmod(x, len(index.ids)) for x in found.tolist()]
 
 
 def _by_text(column: pa.Array, index: Patterns) -> list[set]:
@@ -140,8 +207,8 @@ def _by_text(column: pa.Array, index: Patterns) -> list[set]:
     found, i = [set() for _ in range(len(column))], 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + K.PIECE, "right")) - 1)
-        for text, pattern in leaks(K.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], index):
-            found[i + text].add(index.items[pattern])
+        for text, item in leaks(K.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], index):
+            found[i + text].add(index.ids[item])
         i = j
     return found
 
