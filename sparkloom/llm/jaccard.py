@@ -32,6 +32,7 @@ BAND = 1.5
 SPARE = 0.15
 #: Shingles of a star's chunk and of a family's block, about; two blocks are compared at a time.
 CHUNK, BLOCK = 100_000, 300_000
+GROUP = OWN + "group"
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +224,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id reachable by links, the row's own included. Null, empty and blank texts have no shingles and
     link with nothing. Null ids count after all others; a component of null ids only has a null
     component_id. Repeated rows link with each other. Extra columns are ignored; an empty table gives
-    an empty result.
+    an empty result. keep_key adds the row's key and its group of linked texts, null without shingles: ids
+    may be null or shared by texts that don't link, so component_id doesn't tell groups apart.
     """
     cuts = Cuts(docs.sparkSession, "jaccard")
     bounded_batches(docs.sparkSession)
@@ -233,11 +235,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = base.where("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
     classes = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "least", F.coalesce("label", "c").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
-    classes = cuts.write(classes.join(least, "label").select(F.col("c").alias("class"), "component"))
+    classes = cuts.write(classes.join(least, "label").select(F.col("c").alias("class"), "component", "label"))
     both = base.join(classes, (base["c"] == classes["class"]) & (F.col("n") > 0), "left")
     out = [real_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")]
     out[2] = F.when(F.coalesce("component", "doc") != LAST_ID, F.coalesce("component", "doc")).alias("component_id")
-    return both.select(*[F.col("key").alias(KEY)] * keep_key, *out)
+    return both.select(*[F.col("key").alias(KEY), F.col("label").alias(GROUP)] * keep_key, *out)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -245,8 +247,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words all stay. Of rows with the same id and text one stays, of others with the least id that of least hash."""
     cuts = Cuts(docs.sparkSession, "keep")
     found = cuts.write(jaccard_components(docs, id_col, text_col, words, percent, keep_key=True))
-    null = F.coalesce("component_id", F.lit(LAST_ID))
-    kept = found.where("n_shingles > 0").groupBy(null).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)), KEY)).alias("one")).select(F.col(f"one.{KEY}").alias(OWN + "kept"))
+    kept = found.where("n_shingles > 0").groupBy(GROUP).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)), KEY)).alias("one")).select(F.col(f"one.{KEY}").alias(OWN + "kept"))
     key = keyed(docs, id_col, text_col, *[F.col(f"`{c}`").alias(OWN + "c" + str(i)) for i, c in enumerate(docs.columns)])
     blank = found.where("n_shingles = 0").select(F.col(KEY).alias(OWN + "kept")).distinct()
     columns = [F.col(OWN + "c" + str(i)).alias(c) for i, c in enumerate(docs.columns)]
