@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import OWN, bounded_batches
 
-Q = 12
+Q = 8
 WINDOW = 96
-EDIT_RATE = 0.05
+EDIT_RATE = 0.1
 #: Items of fewer bytes don't identify a leak and are ignored.
 MIN_ITEM = 32
 #: Bytes of benchmark text that an executor holds an index of at a time; a larger benchmark takes more passes.
@@ -115,8 +115,7 @@ def _hits(data: np.ndarray, offsets: np.ndarray, index: Patterns):
 
 
 def _candidates(hit: np.ndarray, where: np.ndarray, text: np.ndarray, offsets: np.ndarray, index: Patterns):
-    """(text, item, lowest diagonal, first and last start) of runs of windows that meet the bound, with
-    the q-grams of their bands."""
+    """(text, item, lowest diagonal, first and last start) of runs of windows that meet the bound."""
     counts = index.last[where] - index.first[where]
     place = np.repeat(index.first[where], counts) + K.ranges(counts)
     item, at = index.item[place], index.at[place]
@@ -134,7 +133,7 @@ def _candidates(hit: np.ndarray, where: np.ndarray, text: np.ndarray, offsets: n
     order = order[np.lexsort((at[order % len(at)], key[order]))]
     key, at, item, text = key[order], at[order % len(at)], item[order % len(item)], text[order % len(text)]
     if not len(key):
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 5
     # a window meets the bound if it covers some q-gram of the band and the one that is bound - 1 later
     end = np.arange(len(key)) + index.bound[item] - 1
     inside = end < len(key)
@@ -145,17 +144,16 @@ def _candidates(hit: np.ndarray, where: np.ndarray, text: np.ndarray, offsets: n
     good &= low <= high
     key, item, text, low, high = (x[good] for x in (key, item, text, low, high))
     if not len(key):
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 5
     # both ends ascend within a band: runs that touch are one
     new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (low[1:] > high[:-1] + 1)))
-    count = np.diff(np.append(new, len(key)))
-    last = new + count - 1
-    return text[new], item[new], (key[new] % span + least) * (index.edits[item[new]] + 1), low[new], high[last], count
+    last = np.append(new[1:], len(key)) - 1
+    return text[new], item[new], (key[new] % span + least) * (index.edits[item[new]] + 1), low[new], high[last]
 
 
-def _verified(data: np.ndarray, offsets: np.ndarray, index: Patterns, text, item, low, start) -> np.ndarray:
-    """Whether the window of each item at each start is within its budget, on the band's diagonals."""
-    out = np.zeros(len(text), bool)
+def _edits(data: np.ndarray, offsets: np.ndarray, index: Patterns, text, item, low, start) -> np.ndarray:
+    """Least edits of the window of each item at each start, on the band's diagonals."""
+    out = np.zeros(len(text), np.int64)
     sizes, edits = index.sizes[item], index.edits[item]
     for m, e in np.unique(np.stack([sizes, edits]), axis=1).T.tolist():
         mine = np.flatnonzero((sizes == m) & (edits == e))
@@ -165,7 +163,7 @@ def _verified(data: np.ndarray, offsets: np.ndarray, index: Patterns, text, item
             inside = (at >= 0) & (at < (offsets[1:] - offsets[:-1])[text[part]][:, None])
             regions = np.where(inside, data[np.clip(offsets[text[part]][:, None] + at, 0, len(data) - 1)], 256).astype(np.int16)
             rows = index.flat[(index.begin[item[part]] + start[part])[:, None] + np.arange(m)[None, :]].astype(np.int16)
-            out[part] = aligned(rows, regions) <= e
+            out[part] = aligned(rows, regions)
     return out
 
 
@@ -180,23 +178,18 @@ def leaks(data: np.ndarray, offsets: np.ndarray, index: Patterns) -> list[tuple[
         # a slice takes up the bytes before it that a region may begin in
         j = max(i + 1, int(np.searchsorted(before, before[i] + HITS, "right")) - 1)
         k = int(np.searchsorted(hit, hit[i] - 2 * int(index.sizes.max())))
-        text, item, low, first, last, count = _candidates(hit[k:j], where[k:j], owner[k:j], offsets, index)
-        pair = text * len(index.ids) + item
-        # the middle of each pair's strongest run first: a whole leak needs no more
-        order = np.lexsort((-count, pair))
-        best = order[np.append(True, pair[order][1:] != pair[order][:-1])] if len(order) else order
-        good = _verified(data, offsets, index, text[best], item[best], low[best], (first[best] + last[best]) // 2)
-        found = np.union1d(found, pair[best[good]])
-        rest = np.flatnonzero(~np.isin(pair, found))
-        sizes = last[rest] - first[rest] + 1
-        upto = np.append(0, np.cumsum(sizes))
-        a = 0
-        while a < len(rest):
-            b = max(a + 1, int(np.searchsorted(upto, upto[a] + 16 * ALIGNED, "right")) - 1)
-            run = np.repeat(rest[a:b], sizes[a:b])
-            good = _verified(data, offsets, index, text[run], item[run], low[run], first[run] + K.ranges(sizes[a:b]))
-            found = np.union1d(found, pair[run[good]])
-            a = b
+        text, item, low, first, last = _candidates(hit[k:j], where[k:j], owner[k:j], offsets, index)
+        # windows d apart differ by d edits at most on the same diagonals, so one of v edits rules out
+        # those nearer than v - e; the two sides that it leaves of its run are halved in turn
+        while len(text):
+            middle = (first + last) // 2
+            over = _edits(data, offsets, index, text, item, low, middle) - index.edits[item]
+            pair = text * len(index.ids) + item
+            found = np.union1d(found, pair[over <= 0])
+            text, item, low, pair = (np.append(x, x) for x in (text, item, low, pair))
+            first, last = np.append(first, middle + over), np.append(middle - over, last)
+            left = (first <= last) & ~np.isin(pair, found)
+            text, item, low, first, last = (x[left] for x in (text, item, low, first, last))
         i = j
     return [divmod(x, len(index.ids)) for x in found.tolist()]
 

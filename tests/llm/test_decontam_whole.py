@@ -71,3 +71,15 @@ def test_verbatim_excerpts_at_every_offset():
     size = decontam.WINDOW
     texts = [f"{prose(rnd, 8)} {cut}{prose(rnd, 8)}" for cut in (item[a : a + size] for a in range(len(item) - size))]
     assert found(texts, decontam.Patterns([(1, item)])) == {(i, 0) for i in range(len(texts))}
+
+
+def test_copies_with_every_tenth_word_replaced():
+    rnd = random.Random(8)
+    items = [prose(rnd, 45) for _ in range(40)]
+    texts = []
+    for item in items:
+        words = item.split()
+        for i in range(rnd.randrange(10), len(words), 10):
+            words[i] = "".join(rnd.choice("bkmowz") for _ in range(rnd.randint(5, 8)))
+        texts.append(f"{prose(rnd, 10)} {' '.join(words)} {prose(rnd, 10)}")
+    assert found(texts, decontam.Patterns(list(enumerate(items)))) == {(i, i) for i in range(40)}
