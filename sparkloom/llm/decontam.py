@@ -5,7 +5,8 @@ is one pattern. A text is contaminated if some region of it is within floor(EDIT
 pattern of m bytes (bytes compared with A-Z as a-z). By the q-gram lemma such a region shares at least
 m - q + 1 - q * e q-grams with the pattern, on diagonals that differ by e at most: the q-grams of whole
 items are counted in overlapping bands of diagonals, windows of a band with fewer than the bound are
-dropped without loss, and the rest are verified by banded alignment.
+dropped without loss, and the rest are verified by banded alignment. Items of fewer than MIN_ITEM bytes, which the lemma can't filter,
+are looked for as they are, without white space around them, where they begin and end at word boundaries.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import OWN, bounded_batches
 Q = 8
 WINDOW = 96
 EDIT_RATE = 0.1
-#: Items of fewer bytes don't identify a leak and are ignored.
+#: Items of fewer bytes have no edit budget.
 MIN_ITEM = 32
 #: Bytes of benchmark text that an executor holds an index of at a time; a larger benchmark takes more passes.
 BLOCK_BYTES = 2 << 20
@@ -38,6 +39,12 @@ class Patterns:
     def __init__(self, items: list[tuple[int | None, str]], q: int = Q, window: int = WINDOW, rate: float = EDIT_RATE, least: int = MIN_ITEM):
         raws = [(item, K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]) for item, text in items]
         long = [(item, raw) for item, raw in raws if len(raw) >= max(least, q)]
+        short = [(item, raw.tobytes().strip()) for item, raw in raws if len(raw) < max(least, q)]
+        #: Items to be found as they are: by size, bytes and their items.
+        self.exact: dict[int, dict[bytes, list[int | None]]] = {}
+        for item, raw in short:
+            if raw:
+                self.exact.setdefault(len(raw), {}).setdefault(raw, []).append(item)
         self.q, self.ids = q, [item for item, _ in long]
         lengths = np.array([len(raw) for _, raw in long], np.int64)
         self.sizes = np.minimum(lengths, window)
@@ -60,7 +67,8 @@ class Patterns:
 
     @cached_property
     def _windows(self) -> list[tuple[int | None, np.ndarray, int]]:
-        return [(self.ids[i], self.flat[b : b + self.sizes[i]], int(self.edits[i])) for i in range(len(self.ids)) for b in range(self.begin[i], self.begin[i] + self.starts[i])]
+        long = [(self.ids[i], self.flat[b : b + self.sizes[i]], int(self.edits[i])) for i in range(len(self.ids)) for b in range(self.begin[i], self.begin[i] + self.starts[i])]
+        return long + [(item, np.frombuffer(raw, np.uint8), 0) for known in self.exact.values() for raw, items in known.items() for item in items]
 
     @cached_property
     def items(self) -> list[int | None]:
@@ -167,6 +175,34 @@ def _edits(data: np.ndarray, offsets: np.ndarray, index: Patterns, text, item, l
     return out
 
 
+def _joined(before: bytes, after: bytes) -> bool:
+    """Whether the place between two pieces of text is inside a word. Scripts without spaces have no words here."""
+    a, b = before[-4:].decode(errors="ignore")[-1:], after[:4].decode(errors="ignore")[:1]
+    return all((c.isalnum() or c == "_") and not ("\u0e00" <= c < "\u10a0" or "\u1780" <= c < "\u1800" or c >= "\u2e80") for c in (a, b)) if a and b else False
+
+
+def exact_leaks(data: np.ndarray, offsets: np.ndarray, index: Patterns) -> set[tuple[int, int | None]]:
+    """(text, item) of the short items that a text has between word boundaries."""
+    found = set()
+    for size, known in index.exact.items():
+        grams = grams_of(data, size)
+        names = {int(grams_of(np.frombuffer(raw, np.uint8), size)[0]): raw for raw in known}
+        hit = np.flatnonzero(np.isin(grams, np.array(list(names), np.uint64)))
+        text = np.searchsorted(offsets, hit, "right") - 1
+        whole = hit + size <= offsets[text + 1]
+        hit, text = hit[whole], text[whole]
+        done = set()
+        for a, t, name in zip(hit.tolist(), text.tolist(), grams[hit].tolist(), strict=True):
+            if (t, name) in done:
+                continue
+            raw, (low, high) = names[name], offsets[t : t + 2].tolist()
+            around = data[max(low, a - 4) : a].tobytes(), data[a + size : min(high, a + size + 4)].tobytes()
+            if data[a : a + size].tobytes() == raw and not _joined(around[0], raw) and not _joined(raw, around[1]):
+                done.add((t, name))
+                found |= {(t, item) for item in known[raw]}
+    return found
+
+
 def leaks(data: np.ndarray, offsets: np.ndarray, index: Patterns) -> list[tuple[int, int]]:
     """Verified (text, number of the item) pairs, distinct and sorted."""
     if not len(index.grams) or not len(data):
@@ -202,6 +238,8 @@ def _by_text(column: pa.Array, index: Patterns) -> list[set]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + K.PIECE, "right")) - 1)
         for text, item in leaks(K.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], index):
             found[i + text].add(index.ids[item])
+        for text, item in exact_leaks(K.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], index):
+            found[i + text].add(item)
         i = j
     return found
 

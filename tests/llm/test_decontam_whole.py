@@ -83,3 +83,26 @@ def test_copies_with_every_tenth_word_replaced():
             words[i] = "".join(rnd.choice("bkmowz") for _ in range(rnd.randint(5, 8)))
         texts.append(f"{prose(rnd, 10)} {' '.join(words)} {prose(rnd, 10)}")
     assert found(texts, decontam.Patterns(list(enumerate(items)))) == {(i, i) for i in range(40)}
+
+
+def test_items_too_short_for_the_filter():
+    items = [(1, "Who wrote the novel Emma?"), (2, "Emma"), (3, " née A. \n"), (4, "emma"), (None, "x1"), (5, ""), (6, " \t"), (7, "z" * 31), (8, "谁写了"), (9, "?!")]
+    texts = {
+        "so WHO WROTE the novel Emma?": {1, 2, 4},
+        "Emmas and gEmma, xx1 x12 née a": set(),
+        "Gemma met (emma)": {2, 4},
+        "éEmma Emmaé": set(),
+        "was née a.": {3},
+        "énée a. née A.b": {3},
+        "x1": {None},
+        "z" * 32: set(),
+        f"-{'z' * 31}-": {7},
+        "问谁写了它": {8},
+        "what?!no": {9},
+        "": set(),
+        "Em": set(),
+        "ma": set(),
+    }
+    index = decontam.Patterns(items)
+    assert decontam._by_text(decontam.pa.array(list(texts)), index) == list(texts.values())
+    assert decontam._by_text(decontam.pa.array([None, "Emma"]), decontam.Patterns(items[1:2])) == [set(), {2}]
