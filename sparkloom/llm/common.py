@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,51 +56,73 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named, as in tests."""
+    """The folder that driver and executors share. Only a session within one process may name none, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the time of one action, put back after it. ``__`` stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 class Cuts:
     """Intermediate results written as Parquet to the shared folder: lineage ends there, so a lost
-    executor costs no more than the step in hand. ``drop`` removes one that no later step reads."""
+    executor costs no more than the step in hand. The shuffle files behind a written result go as soon
+    as it is written. ``drop`` removes one that no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame) -> DataFrame:
+        return self._read(df.schema, self._written(df))
+
+    def split(self, df: DataFrame, which) -> tuple[DataFrame, DataFrame]:
+        """The rows for which a condition doesn't hold and those for which it does, in one pass, to be dropped singly."""
+        path, name = self._written(df.withColumn(OWN + "which", which), OWN + "which"), OWN + "which"
+        for value in ("false", "true"):  # a side without rows has no folder
+            where = self._path(f"{path}/{name}={value}")
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)
+        return tuple(self._read(df.schema, f"{path}/{name}={value}") for value in ("false", "true"))
+
+    def _written(self, df: DataFrame, *by: str) -> str:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        schema = df.schema
-        df.write.parquet(path)
-        del df
-        self.settle()
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+        return path
+
+    def _read(self, schema, path: str) -> DataFrame:
         out = self.spark.read.schema(schema).parquet(path)
         out.__dict__[OWN + "path"] = path
         return out
 
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
     def drop(self, df: DataFrame) -> None:
         path = df.__dict__.pop(OWN + "path", None)
         if path:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where = self._path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    def settle(self) -> None:
-        """Let Spark remove the shuffle files of what is no longer referenced.
-
-        The last execution is referenced until the listeners have seen its end; its files go shortly
-        after the collection that finds it unreferenced. A session within one process is not paused.
-        """
-        if self.spark.sparkContext.master.startswith("local["):
-            return
-        time.sleep(0.15)
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.15)
-
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether each node is either a centre or hangs on one centre only."""

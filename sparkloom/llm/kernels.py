@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 17
+#: Elements of a winnowed piece, which fit a core's cache.
+SCAN = 1 << 16
 WORD64 = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes; different ones give independent hashes.
 MULTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -164,10 +166,9 @@ def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table
     """
     texts, firsts, counts, anchors, offs = [], [], [], [], []
     n, width = len(tokens), window - q + 1
-    begin, end = offsets[:-1], offsets[1:]
     mask = np.uint64((1 << 22) - 1)
-    for p0 in range(0, n, PIECE):
-        p1 = min(n, p0 + PIECE)
+    for p0 in range(0, n, SCAN):
+        p1 = min(n, p0 + SCAN)
         part = tokens[p0 : min(n, p1 + window - 1)]
         if len(part) < window:
             break
@@ -177,16 +178,14 @@ def segments(tokens: np.ndarray, offsets: np.ndarray, q: int, window: int, table
         grams ^= grams >> np.uint64(32)
         grams *= np.uint64(MULTS[0])
         at = np.arange(len(grams), dtype=np.uint64)
-        least = sliding_min((grams & ~mask) | (mask - at), width)
+        least = sliding_min((grams & ~mask) | (mask - at), width)[: p1 - p0]
         chosen = (mask - (least & mask)).astype(np.int64)
-        inside = np.zeros(len(chosen) + 1, np.int32)
-        # windows [begin, end - window] of each text that start in this piece
-        low = np.clip(begin, p0, p1) - p0
-        high = np.clip(np.maximum(end - window + 1, begin), p0, p1) - p0
-        low, high = np.minimum(low, len(chosen)), np.minimum(high, len(chosen))
-        np.add.at(inside, low, 1)
-        np.add.at(inside, high, -1)
-        starts = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        # no window reaches over the end of its text
+        inside = np.ones(len(chosen), bool)
+        ends = offsets[np.searchsorted(offsets, p0, "right") : np.searchsorted(offsets, p1 + window)] - p0
+        over = (ends[:, None] - np.arange(1, window)).ravel()
+        inside[over[(over >= 0) & (over < len(chosen))]] = False
+        starts = np.flatnonzero(inside)
         if not len(starts):
             continue
         sel = chosen[starts]

@@ -3,33 +3,34 @@
 Shared by substring dedup on words and suffix-bucket dedup on bytes. A window of W tokens selects one
 anchor, the q-gram of least hash in it, by its content alone. So equal windows have equal anchors at
 equal offsets, and only windows whose anchor occurs twice can repeat. Neighbouring windows with the
-same anchor form a segment; a segment as a whole stands for its windows until it is found to differ.
-
-1. live anchors: counted over all texts with map-side aggregation; the rest are dropped;
-2. live segments, by text, each with the name of its content: equal content is one class;
-3. where an anchor has several classes, one member of each (and the members that may still turn out
-   repeated) are split into blocks of neighbouring windows, aligned on the anchor. A block's bucket is
-   the core that all windows of a whole block have in common; buckets and classes of blocks are
-   treated like those of segments, and what is left is split again, down to single windows;
-4. the repeated windows of each text, as ranges of its tokens.
-
-No step emits pairs: groups of any size are only aggregated, and joined back on their key.
+same anchor form a run; each round of sorting (see ``census``) settles or drops most of what is left:
+
+1. texts and anchors: a text that others have as a whole is settled (one owner stays as a source of
+   windows); anchors that nobody else has are dropped with their windows;
+2. runs, by anchor and content of all their windows: equal runs are settled as a whole, one stays;
+3. blocks of neighbouring windows, aligned on the anchor, in smaller and smaller sizes: by the core that
+   all windows of a whole block have in common (not had by others: dropped) and by content (had by
+   others: settled);
+4. single windows.
+
+What a block of texts sends is bounded by the names in it, whatever their groups' sizes are; no step
+emits pairs, joins on a name, or brings the members of a group together as rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from . import census
 from . import kernels as K
-from .common import DOC, KEY, TEXT, Cuts, map_batches
-
-RANGES = "__loom_ranges"
+from .census import Block
+from .common import LAST_ID, Cuts
 
 
 @dataclass(frozen=True)
@@ -41,183 +42,170 @@ class Windows:
     q: int
     words: bool
     earlier: bool
-    #: Windows in a block, level by level; the last is 1, and words have that only. Without levels only
-    #: whole segments are settled.
+    #: Windows in a block, level by level; the last is 1.
     levels: tuple[int, ...] = (1,)
     #: Gives token ranges 64-bit names, equal for equal content.
     names: Callable = K.hash_ranges
 
-    def tokens(self, texts: pa.Array):
+    def tokens(self, block: Block):
         """Token array, offsets by text, table of token values or None."""
-        data, offsets = K.utf8(texts)
         if not self.words:
-            return data, offsets, K.BYTE_VALUES
-        _, _, by_text, hashes = K.word_hashes(data, offsets, K.SPACE)
+            return block.data, block.offsets, K.BYTE_VALUES
+        _, _, by_text, hashes = K.word_hashes(block.data, block.offsets, K.SPACE)
         return hashes, by_text, None
 
+    def owners(self, block: Block) -> np.ndarray:
+        return block.docs if self.earlier else block.keys
 
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(values).view(np.int64))
-
-
-def _scan(batch: pa.RecordBatch, win: Windows, full: bool) -> pa.RecordBatch:
-    tokens, offsets, table = win.tokens(batch.column(1))
-    text, first, count, anchor, off = K.segments(tokens, offsets, win.q, win.width, table)
-    columns = {"a": _signed(anchor), "d": batch.column(0).take(pa.array(text))}
-    if full:
-        columns |= {"at": pa.array(_pack(first, off, count))}
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def _pack(first: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A place: the first window, how far the anchor starts from it, the number of windows."""
-    return first << 16 | off << 8 | count
 
+class _Step:
+    """One round's view of a block."""
 
-def _distinct(values: pa.Array, lists: pa.Array):
-    """Values sorted and distinct within each list, the list of each, and their places in ``values``."""
-    values = values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
-    if len(values):
-        keep = np.append(True, (values[1:] != values[:-1]) | (row[1:] != row[:-1]))
-        values, row, order = values[keep], row[keep], order[keep]
-    return values, row, order
+    def __init__(self, win: Windows, block: Block, got: list[dict], parts: int):
+        self.win, self.got, self.parts, self.owner = win, got, parts, win.owners(block)
+        self.tokens, self.offsets, self.table = win.tokens(block)
+        self.state = next((census.unpack(x["state"]) for x in got if x["part"] < 0), {})
 
+    def name(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Names and checks of token ranges; equal ranges with another salt are other names."""
+        names = self.win.names(self.tokens, start, end, K.MULTS[2], self.table)
+        return names if salt is None else K.mix(names ^ salt), (K.hash_ranges(self.tokens, start, end, K.MULTS[3], self.table) >> np.uint64(32)).astype(np.uint32)
 
-def unpack(column: pa.Array):
-    """The places of each row, sorted and distinct, and the row of each."""
-    return _distinct(column.flatten(), column)[:2]
+    def send(self, names: np.ndarray, checks: np.ndarray, owners: np.ndarray, **state: np.ndarray) -> list[dict]:
+        """Rows that ask for names, and the row with what the block keeps until they are answered."""
+        rows, place = census.asked(names, checks, owners, self.parts, self.win.earlier)
+        if state:
+            state = {k: v.astype(np.int32) if k in ("text", "rows") else v for k, v in state.items()}
+            rows.append({"part": -1, "state": census.pack(place=place.astype(np.int32), **state)})
+        return rows
 
+    def answers(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(had by others, least owner) of what the block asked about, whose texts are ``text``."""
+        return census.read_answers(self.got, self.owner[text], self.state["place"])
 
-ROWS = "a long, c long, n int, key long, doc long, at long"
+    def settled(self, alive: np.ndarray, low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are repeated, and which stay in the search: those that may still be, and one owner's of equal ones."""
+        return (low < owner, low >= owner) if self.win.earlier else (alive, ~alive | (low == owner))
 
 
-def _rows(batch: pa.RecordBatch, bucket: pa.Array, content: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    rows = pa.array(row)
-    return pa.RecordBatch.from_pydict({
-        "a": bucket, "c": _signed(content), "n": pa.array((at & 255).astype(np.int32)),
-        "key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "at": pa.array(at),
-    })
-
-
-def _segments(batch: pa.RecordBatch, win: Windows) -> pa.RecordBatch:
-    """(key, doc, text, live places with their anchors) to the live segments."""
-    tokens, offsets, table = win.tokens(batch.column(2))
-    both = batch.column(3)
-    at, row, order = _distinct(both.flatten().field("at"), both)
-    start = (at >> 16) + offsets[row]
-    content = win.names(tokens, start, start + (at & 255) + win.width - 1, K.MULTS[2], table)
-    return _rows(batch, both.flatten().field("a").take(pa.array(order)), content, row, at)
-
-
-def _blocks(batch: pa.RecordBatch, win: Windows, size: int, last: bool) -> pa.RecordBatch:
-    """(key, doc, text, places) to blocks of ``size`` windows, aligned on the anchor."""
-    tokens, offsets, table = win.tokens(batch.column(2))
-    at, row = unpack(batch.column(3))
-    return _split(batch, tokens, table, at, row, (at >> 16) + offsets[row], win, size, last)
-
-
-def _smaller(batch: pa.RecordBatch, win: Windows, size: int, last: bool) -> pa.RecordBatch:
-    """(key, doc, place, its own bytes) to blocks of ``size`` windows; the text isn't needed again."""
-    data, offsets = K.utf8(batch.column(3))
-    at = batch.column(2).to_numpy(zero_copy_only=False)
-    return _split(batch, data, K.BYTE_VALUES, at, np.arange(batch.num_rows), offsets[:-1], win, size, last)
+def _places(first: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A place: the first window, how far the anchor starts from it, the number of windows."""
+    return first << 16 | off << 8 | count
 
 
-def _split(batch, tokens, table, at, row, origin, win: Windows, size: int, last: bool) -> pa.RecordBatch:
-    """``origin`` is where each place's first window starts among the tokens."""
+def _initial(step: _Step) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Names of the texts as wholes, then of their anchors; and the runs of windows."""
+    raw, at = step.tokens.view(np.uint8), step.offsets * step.tokens.itemsize
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    whole = np.frombuffer(digests, np.uint64)
+    runs = K.segments(step.tokens, step.offsets, step.win.q, step.win.width, step.table)
+    names = np.concatenate([whole[::2], K.mix(runs[3])])
+    # an anchor's bucket may hold others too, as all of a run's bytes are compared later
+    return names, np.append((whole[1::2] >> np.uint64(32)).astype(np.uint32), np.zeros(len(runs[3]), np.uint32)), runs
+
+
+def _ask_texts(win: Windows, block: Block, got: list[dict], parts: int) -> list[dict]:
+    step = _Step(win, block, got, parts)
+    names, checks, runs = _initial(step)
+    return step.send(names, checks, step.owner[np.append(np.arange(len(step.owner)), runs[0])])
+
+
+def _ask_runs(win: Windows, block: Block, got: list[dict], parts: int) -> list[dict]:
+    step = _Step(win, block, got, parts)
+    names, checks, (text, first, count, anchor, off) = _initial(step)
+    n = len(step.owner)
+    _, place = census.asked(names, checks, step.owner[np.append(np.arange(n), text)], parts, win.earlier)
+    step.state = {"place": place}
+    alive, low = step.answers(np.append(np.arange(n), text))
+    done, stay = step.settled(alive[:n], low[:n], step.owner)
+    whole = done & (np.diff(step.offsets) >= win.width)
+    keep = alive[n:] & stay[text]
+    text, first, count, off = (x[keep] for x in (text, first, count, off))
+    start = first + step.offsets[text]
+    names, checks = step.name(start, start + count + win.width - 1, off.astype(np.uint64) << np.uint64(8) | count.astype(np.uint64))
+    return step.send(names, checks, step.owner[text], whole=whole, text=text, at=_places(first, off, count), rows=text[:0], done=first[:0])
+
+
+def _ask_blocks(win: Windows, block: Block, got: list[dict], parts: int, size: int, before: int) -> list[dict]:
+    """Blocks of ``size`` windows of what the last round (``before`` windows a block, 0: runs) left open."""
+    step = _Step(win, block, got, parts)
+    if not step.state:
+        return []
+    rows, done, text, at = _left(step, before)
     first, off, count = at >> 16, at >> 8 & 255, at & 255
     low = (off - count + 1) // size
     counts = off // size - low + 1
-    place, anchor, high_off, low_off = (np.repeat(x, counts) for x in (first + off, origin + off, off, off - count + 1))
-    row = np.repeat(row, counts)
-    block = np.repeat(low, counts) + K.ranges(counts)
-    high, least = np.minimum(high_off, block * size + size - 1), np.maximum(low_off, block * size)
-    at = _pack(place - high, high, high - least + 1)
-    core = anchor - block * size
-    bucket = win.names(tokens, core, core - size + 1 + win.width, K.MULTS[1], table) + K.mix(block.astype(np.uint64) + np.uint64(1))
-    start, end = anchor - high, anchor - least + win.width
-    out = _rows(batch, _signed(bucket), win.names(tokens, start, end, K.MULTS[2], table), row, at)
-    if last:
-        return out
-    sizes = end - start
-    bytes_ = tokens[np.repeat(start, sizes) + K.ranges(sizes)]
-    own = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(bytes_)])
-    return pa.RecordBatch.from_arrays([*out.columns, own], [*out.schema.names, "own"])
-
-
-def _with_places(texts: DataFrame, places: DataFrame, *more: str) -> DataFrame:
-    """Each text with the list of its places; the list is as long as the text at most."""
-    lists = places.groupBy("key").agg(F.collect_list(F.struct("at", *more) if more else "at").alias("at"))
-    return texts.join(lists, texts[KEY] == lists["key"]).select(KEY, DOC, TEXT, "at")
-
-
-def _settle(cuts: Cuts, rows: DataFrame, win: Windows, last: bool):
-    """(repeated places, places to split) among the members of buckets."""
-    own = ["own"] if "own" in rows.columns else []
-    classes = cuts.write(rows.groupBy("a", "c", "n").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high")))
-    buckets = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("low").alias("least"), F.max("high").alias("most"))
-    whole, parts = ("low < high", "least < most and (low < high or kinds > 1)") if win.earlier else ("times > 1", "times > 1 or kinds > 1")
-    named = classes.join(buckets, "a").where(whole if last else parts)
-    named = cuts.write(named.select("a", "c", "n", "times", "low", "least", (F.col("kinds") > 1).alias("mixed")))
-    cuts.drop(classes)
-    if last:
-        done = rows.join(named, ["a", "c", "n"]).where("doc > low" if win.earlier else "times > 1").select("key", "at")
-        done = cuts.write(done)
-        cuts.drop(named)
-        return done, None
-    placed = cuts.write(rows.join(named, ["a", "c", "n"]).select("a", "c", "n", "key", "doc", "at", "times", "low", "least", "mixed", *own))
-    cuts.drop(named)
-    done = cuts.write(placed.where("doc > low" if win.earlier else "times > 1").select("key", "at"))
-    one = placed.where("mixed").groupBy("a", "c", "n").agg(F.min(F.struct("doc", "key", "at", *own)).alias("one"))
-    kept = ["key", "doc", "at", *own]
-    left = one.select(*[f"one.{c}" for c in kept])
-    if win.earlier:  # all places in the least text of a class, if another class of the bucket has a smaller one
-        left = left.union(placed.where("mixed and doc = low and low > least").select(*kept))
-    left = cuts.write(left.dropDuplicates(["key", "at"]) if own else left)
-    cuts.drop(placed)
-    return done, left
-
-
-def repeated_ranges(cuts: Cuts, texts: DataFrame, win: Windows) -> DataFrame:
-    """(key, ranges): for each text of ``keyed`` rows with repeated windows, their places (see ``_pack``).
-    Texts without any have no row."""
-    bare = map_batches(texts.select(DOC, TEXT), lambda b: _scan(b, win, False), "a long, d long")
-    if win.earlier:
-        live = bare.groupBy("a").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("a")
+    place, high_off, low_off, text = (np.repeat(x, counts) for x in (first + off, off, off - count + 1, text))
+    number = np.repeat(low, counts) + K.ranges(counts)
+    high, least = np.minimum(high_off, number * size + size - 1), np.maximum(low_off, number * size)
+    at, base = _places(place - high, high, high - least + 1), place + step.offsets[text]
+    # equal windows have equal anchors at equal offsets: their content holds the anchor, and names the offsets
+    order = np.argsort(base - high, kind="stable")
+    text, at, base, high, least, number = (x[order] for x in (text, at, base, high, least, number))
+    names, checks = step.name(base - high, base - least + win.width, (high << 8 | least).astype(np.uint64))
+    if size > 1:
+        core = base - number * size
+        core = step.name(core, core - size + 1 + win.width, ~number.astype(np.uint64))
+        names, checks = np.append(core[0], names), np.append(core[1], checks)
+    owner = step.owner[text]
+    return step.send(names, checks, np.append(owner, owner) if size > 1 else owner, whole=step.state["whole"], text=text, at=at, rows=rows, done=done)
+
+
+def _left(step: _Step, size: int) -> tuple:
+    """(texts and places settled so far; texts and places that are still open) after a round of blocks."""
+    s = step.state
+    text, at = s["text"], s["at"]
+    if size > 1:
+        alive, low = step.answers(np.append(text, text))
+        core, alive, low = alive[: len(text)], alive[len(text) :], low[len(text) :]
     else:
-        live = bare.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    live = cuts.write(live)
-    cuts.settle()
-    places = map_batches(texts.select(KEY, TEXT), lambda b: _scan(b, win, True), "a long, d long, at long")
-    places = cuts.write(places.join(live, "a", "left_semi").select(F.col("d").alias("key"), "at", "a"))
-    cuts.drop(live)
-    cuts.settle()
-    rows = cuts.write(map_batches(_with_places(texts, places, "a"), lambda b: _segments(b, win), ROWS))
-    cuts.drop(places)
-    cuts.settle()
-    done, left = _settle(cuts, rows, win, last=not win.levels)
-    cuts.drop(rows)
-    found = [done]
-    for i, size in enumerate(win.levels):
-        last = i == len(win.levels) - 1
-        schema = ROWS if last else ROWS + ", own binary"
-        if i:
-            rows = map_batches(left.select("key", "doc", "at", "own"), lambda b, size=size, last=last: _smaller(b, win, size, last), schema)
-        else:
-            rows = map_batches(_with_places(texts, left), lambda b, size=size, last=last: _blocks(b, win, size, last), schema)
-        rows = cuts.write(rows)
-        cuts.drop(left)
-        cuts.settle()
-        done, left = _settle(cuts, rows, win, last)
-        cuts.drop(rows)
-        found.append(done)
-    every = found[0]
-    for done in found[1:]:
-        every = every.union(done)
-    out = cuts.write(every.groupBy("key").agg(F.collect_list("at").alias(RANGES)))
-    for done in found:
-        cuts.drop(done)
-    return out
+        alive, low = step.answers(text)
+        core = np.ones(len(text), bool)
+    done, stay = step.settled(alive, low, step.owner[text])
+    stay &= core
+    return np.append(s["rows"], text[done]), np.append(s["done"], at[done]), text[stay], at[stay]
+
+
+def covered(win: Windows, block: Block, got: list[dict]) -> tuple[np.ndarray, _Step]:
+    """A mask of the block's tokens that lie in repeated windows."""
+    step = _Step(win, block, got, 1)
+    steps = np.zeros(len(step.tokens) + 1, np.int32)
+    if step.state:
+        text, at, _, _ = _left(step, win.levels[-1])
+        start = (at >> 16) + step.offsets[text]
+        np.add.at(steps, start, 1)
+        np.add.at(steps, start + (at & 255) + win.width - 1, -1)
+        whole = np.flatnonzero(step.state["whole"])
+        np.add.at(steps, step.offsets[whole], 1)
+        np.add.at(steps, step.offsets[whole + 1], -1)
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0, step
+
+
+def cut_repeats(cuts: Cuts, texts: DataFrame, win: Windows, cut: Callable[[Block, np.ndarray, _Step], pa.RecordBatch], schema: str) -> DataFrame:
+    """``cut`` of each block of ``keyed`` rows and the mask of its tokens in repeated windows."""
+    written = cuts.write(census.blocks(texts))
+    steps = [lambda b, got, parts: _ask_texts(win, b, got, parts), lambda b, got, parts: _ask_runs(win, b, got, parts)]
+    before = 0
+    for size in win.levels:
+        steps.append(lambda b, got, parts, size=size, before=before: _ask_blocks(win, b, got, parts, size, before))
+        before = size
+    found = census.rounds(cuts, written, win.earlier, steps)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block.of(row)
+                yield cut(block, *covered(win, block, row.get("found") or []))
+
+    return census.with_answers(written, found).mapInArrow(run, schema)
+
+
+def real_ids(docs: np.ndarray) -> pa.Array:
+    """Ids as the caller knows them: null again where they were null."""
+    return pa.array(docs, mask=docs == LAST_ID)
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    steps = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)

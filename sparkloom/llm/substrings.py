@@ -6,48 +6,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .common import DOC, KEY, LAST_ID, TEXT, Cuts, keyed, map_batches
-from .repeats import RANGES, Windows, repeated_ranges, unpack
+from .census import Block
+from .common import Cuts, keyed
+from .repeats import Windows, cut_repeats, real_ids, runs
 
 MIN_WORDS = 35
 ANCHOR_WORDS = 8
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
 
 
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true values."""
-    steps = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-
-
-def real_ids(column: pa.Array) -> pa.Array:
-    return pc.if_else(pc.equal(column, LAST_ID), pa.scalar(None, pa.int64()), column)
-
-
-def _cut(batch: pa.RecordBatch, min_words: int, digest: bool) -> pa.RecordBatch:
-    data, offsets = K.utf8(batch.column(1))
-    starts, ends, by_text = K.word_spans(data, offsets, K.SPACE)
-    at, row = unpack(batch.column(2))
-    first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-    n_words, n_removed, kept, removed = [], [], [], []
-    raw = data.tobytes()
-    for i in range(batch.num_rows):
-        low, high = by_text[i], by_text[i + 1]
-        places = at[first[i] : first[i + 1]]
-        begin, count = places >> 16, places & 255
-        mask = K.cover(high - low, begin, begin + count + min_words - 1)
-        s, e = starts[low:high][~mask].tolist(), ends[low:high][~mask].tolist()
+def _cut(block: Block, mask: np.ndarray, digest: bool) -> pa.RecordBatch:
+    starts, ends, by_text = K.word_spans(block.data, block.offsets, K.SPACE)
+    n_removed, kept, removed = [], [], []
+    raw = block.data.tobytes()
+    for low, high in zip(by_text[:-1].tolist(), by_text[1:].tolist(), strict=True):
+        gone = mask[low:high]
+        s, e = starts[low:high][~gone].tolist(), ends[low:high][~gone].tolist()
         text = b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)])
-        n_words.append(int(high - low))
-        n_removed.append(int(mask.sum()))
+        n_removed.append(high - low - len(s))
         kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
         if not digest:
-            removed.append([{"start": x, "end": y} for x, y in zip(*(r.tolist() for r in runs(mask)), strict=True)])
-    out = {"doc_id": real_ids(batch.column(0)), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+            removed.append([{"start": x, "end": y} for x, y in zip(*(r.tolist() for r in runs(gone)), strict=True)])
+    out = {"doc_id": real_ids(block.docs), "n_words": pa.array(np.diff(by_text)), "n_removed": pa.array(n_removed, pa.int64())}
     if digest:
         out["kept_sha256"] = pa.array(kept, pa.string())
     else:
@@ -72,7 +55,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("anchor_words must be in 1..min_words, and less than 250 below it")
     cuts = Cuts(docs.sparkSession, "substrings")
     texts = keyed(docs, id_col, text_col)
-    places = repeated_ranges(cuts, texts, Windows(min_words, anchor_words, words=True, earlier=False))
-    both = texts.join(places, texts[KEY] == places["key"], "left").select(DOC, TEXT, RANGES)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else SCHEMA
-    return map_batches(both, lambda b: _cut(b, min_words, digest), schema)
+    win = Windows(min_words, anchor_words, words=True, earlier=False)
+    return cut_repeats(cuts, texts, win, lambda block, mask, _: _cut(block, mask, digest), schema)

@@ -2,12 +2,14 @@
 
 The suffixes are those that start at sampled positions: in each window of the required length the
 q-gram of least hash is sampled, so no repeated string is without a sampled suffix at the same offset.
-Initial buckets are equal q-grams. A bucket that holds a single text is final and dropped. The rest
-are refined by the bucket identifiers of later offsets: the identifier of a 2q-byte prefix is made of
-those of its two halves, and so on recursively, each level reusing the identifiers of the last, until
-the compared prefix spans the required length. Strings well over the required length come first, as they
-need few samples, and what they settle is left out of the second round. Identifiers are hashes of content, so that executors
-agree on them without a global sort; sorting on them groups equal prefixes.
+Initial buckets are equal q-grams, sorted over the whole corpus; a bucket of a single text is final and
+dropped. What is left is sorted again by its bucket and the bucket names of later (and, as a window may
+begin before its sample, earlier) offsets: first for the whole run of windows that have the sample, then
+for smaller and smaller blocks of windows, then for single ones. The name of 2h bytes is made of the names of h bytes
+here and at offset h, and so on recursively from the q-grams on, so each round's sort keys are
+identifiers of the round before and of later offsets. Identifiers are hashes of content instead of ranks, so
+that a pointer at a later offset needs no look-up in another task. After each round texts get back which
+of their buckets are still shared, and the least id in each.
 """
 
 from __future__ import annotations
@@ -18,17 +20,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import DOC, KEY, TEXT, Cuts, keyed, map_batches
-from .repeats import RANGES, Windows, repeated_ranges, unpack
-from .substrings import real_ids, runs
+from .census import Block
+from .common import Cuts, keyed
+from .repeats import Windows, cut_repeats, real_ids, runs
 
 MIN_BYTES = 50
 BUCKET_BYTES = 16
-#: The first round's strings are so much longer. Their runs of windows still count in eight bits.
-COARSE = 78
+#: Windows in a block, round by round.
+LEVELS = (18, 6, 1)
 
 
 def bucket_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: int, table: np.ndarray, q: int = BUCKET_BYTES) -> np.ndarray:
@@ -66,48 +67,18 @@ def bucket_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mult: i
     return out
 
 
-def _rest(batch: pa.RecordBatch, coarse: int, width: int) -> pa.RecordBatch | None:
-    """(key, doc, text, coarse ranges) to the pieces of bytes in which windows are still to be judged."""
-    data, offsets = K.utf8(batch.column(2))
-    at, row = unpack(batch.column(3))
-    first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-    rows, begins, parts = [], [], []
-    for i in range(batch.num_rows):
-        n = int(offsets[i + 1] - offsets[i]) - width + 1
-        if n <= 0:
-            continue
-        places = at[first[i] : first[i + 1]]
-        begin = places >> 16
-        s, e = runs(~K.cover(n, np.minimum(begin, n), np.minimum(begin + (places & 255) + coarse - width, n)))
-        for a, b in zip(s.tolist(), e.tolist(), strict=True):
-            rows.append(i)
-            begins.append(a)
-            parts.append(data[offsets[i] + a : offsets[i] + b + width - 1].tobytes())
-    if not rows:
-        return None
-    rows = pa.array(rows)
-    return pa.RecordBatch.from_pydict({"key": batch.column(0).take(rows), "doc": batch.column(1).take(rows), "off": pa.array(begins, pa.int64()), "part": pa.array(parts, pa.binary())})
-
-
-def _cut(batch: pa.RecordBatch, min_bytes: int, digest: bool) -> pa.RecordBatch:
-    data, offsets = K.utf8(batch.column(1))
-    at, row = unpack(batch.column(2))
-    first = np.searchsorted(row, np.arange(batch.num_rows + 1))
-    n_bytes, n_removed, n_spans, kept, removed = [], [], [], [], []
-    for i in range(batch.num_rows):
-        own = data[offsets[i] : offsets[i + 1]]
-        places = at[first[i] : first[i + 1]]
-        begin, count = places >> 16, places & 255
-        mask = K.cover(len(own), begin, begin + count + min_bytes - 1)
-        s, e = runs(mask)
-        rest = own[~mask].tobytes()
-        n_bytes.append(len(own))
-        n_removed.append(int(mask.sum()))
+def _cut(block: Block, mask: np.ndarray, digest: bool) -> pa.RecordBatch:
+    n_removed, n_spans, kept, removed = [], [], [], []
+    for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
+        own, gone = block.data[a:b], mask[a:b]
+        s, e = runs(gone)
+        rest = (own[~gone] if len(s) else own).tobytes()
+        n_removed.append(b - a - len(rest))
         n_spans.append(len(s))
         kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
         if not digest:
             removed.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist(), strict=True)])
-    out = {"doc_id": real_ids(batch.column(0)), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64())}
+    out = {"doc_id": real_ids(block.docs), "n_bytes": pa.array(np.diff(block.offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64())}
     if digest:
         out["kept_sha256"] = pa.array(kept, pa.string())
     else:
@@ -124,25 +95,9 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty result. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and kept_bytes
     with the removed ranges, or with ``digest`` the remaining bytes' kept_sha256 instead.
     """
-    if not 0 < bucket_bytes <= min_bytes or min_bytes - bucket_bytes + 2 * COARSE >= 255:
-        raise ValueError("bucket_bytes must be in 1..min_bytes, and less than 99 below it")
+    if not 0 < bucket_bytes <= min_bytes - LEVELS[0] + 1 or min_bytes - bucket_bytes >= 250:
+        raise ValueError(f"bucket_bytes must be in 1..min_bytes - {LEVELS[0] - 1}, and less than 250 below min_bytes")
     cuts = Cuts(docs.sparkSession, "suffixes")
-    texts = keyed(docs, id_col, text_col)
-    names = partial(bucket_names, q=bucket_bytes)
-    # first long strings, whose anchors are few: whatever lies in a longer repeat is covered and stays out of the
-    # second round, both as a window to judge and as one to compare with, as its first occurrence is never covered
-    coarse = min_bytes + COARSE
-    long = repeated_ranges(cuts, texts, Windows(coarse, bucket_bytes, words=False, earlier=True, levels=(), names=names))
-    rest = texts.join(long, texts[KEY] == long["key"], "left").select(KEY, DOC, TEXT, RANGES)
-    rest = map_batches(rest, lambda b: _rest(b, coarse, min_bytes), "key long, doc long, off long, part binary")
-    rest = cuts.write(rest.select(F.xxhash64("key", "off").alias(KEY), F.col("doc").alias(DOC), F.col("part").alias(TEXT), "key", "off"))
-    cuts.settle()
-    short = repeated_ranges(cuts, rest.select(KEY, DOC, TEXT), Windows(min_bytes, bucket_bytes, words=False, earlier=True, levels=(9, 3, 1), names=names))
-    short = short.withColumnRenamed("key", "piece").join(rest.select(KEY, "key", "off"), F.col("piece") == F.col(KEY))
-    short = short.select("key", F.transform(RANGES, lambda x: x + F.shiftleft("off", 16)).alias(RANGES))
-    long = long.select("key", F.transform(RANGES, lambda x: x + COARSE).alias(RANGES))  # as so many more windows of the lesser width
-    places = cuts.write(long.union(short).groupBy("key").agg(F.flatten(F.collect_list(RANGES)).alias(RANGES)))
-    cuts.drop(rest)
-    both = texts.join(places, texts[KEY] == places["key"], "left").select(DOC, TEXT, RANGES)
+    win = Windows(min_bytes, bucket_bytes, words=False, earlier=True, levels=LEVELS, names=partial(bucket_names, q=bucket_bytes))
     tail = "kept_sha256 string" if digest else "kept_bytes binary, removed array<struct<start:long,end:long>>"
-    return map_batches(both, lambda b: _cut(b, min_bytes, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {tail}")
+    return cut_repeats(cuts, keyed(docs, id_col, text_col), win, lambda block, mask, _: _cut(block, mask, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {tail}")
