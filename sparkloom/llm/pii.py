@@ -1,4 +1,9 @@
-"""Personal data: expressions propose spans, checksums confirm them, words nearby adjust the score."""
+"""Personal data and secrets: expressions propose spans, checksums confirm them, words nearby adjust the score.
+
+Base kinds count whatever their score. Others count from MIN_SCORE on: IBANs (mod-97), social security
+numbers (valid ranges and a context word), keys in the published formats of their issuers, and passwords
+and other secrets, which are long mixed strings or what is assigned to a password, near a context word.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import OWN, bounded_batches
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key", "secret")
 #: Kinds that count whatever the words around them.
 BASE = KINDS[:4]
 MIN_SCORE = 0.5
 #: Score of a confirmed span before its context, and the words within REACH code points that raise it.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "key": 0.7, "secret": 0.3}
 CONTEXT = {
     "email": ("mail", "contact"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "call", "tel", "mobile"), "iban": ("iban", "bank", "account"), "ssn": ("ssn", "social", "security"),
+    "key": ("key", "token", "secret", "aws", "github", "auth"), "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "credentials", "auth", "bearer"),
 }
 REACH, BOOST = 40, 0.3
 
@@ -36,6 +42,14 @@ _LENGTHS = {x[:2]: int(x[2:]) for x in (
     "SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 ).split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Published prefixes and lengths of keys and tokens, and the head of a private key.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+)
+_KEY_PARTS = ("AKIA", "ASIA", "gh", "sk", "xox", "AIza", "eyJ", "PRIVATE KEY")
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd)\"?'?[ ]{0,3}[:=][ ]{0,3}[\"']?([^\s\"',;]{6,64})(?![^\s\"',;])")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile("[a-z]+")
@@ -98,11 +112,25 @@ def _ibans(text: str):
             yield m.start(), at
 
 
+def _secrets(text: str):
+    """Spans of keys, then of passwords and long strings of letters and digits that lie in none of them."""
+    taken = [("key", *m.span()) for m in _KEY.finditer(text)] if any(p in text for p in _KEY_PARTS) else []
+    low = text.lower()
+    if any(w in low for w in CONTEXT["secret"]):
+        taken += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)] if "pass" in low or "pwd" in low else []
+        known = {i for _, s, e in taken for i in (s, e)}
+        for m in _LONG.finditer(text):
+            if _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]) and m.start() not in known and m.end() not in known:
+                taken.append(("secret", *m.span()))
+    return taken
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    if not _DIGIT.search(text):
-        return []
-    found = [("iban", *x) for x in _ibans(text)]
-    return found + [("ssn", *x.span()) for x in _SSN.finditer(text)]
+    found = _secrets(text)
+    if _DIGIT.search(text):
+        found += [("iban", *x) for x in _ibans(text)]
+        found += [("ssn", *x.span()) for x in _SSN.finditer(text) if x[0][:3] not in ("000", "666") and x[0][0] != "9" and x[0][4:6] != "00" and x[0][7:] != "0000"]
+    return found
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
@@ -135,7 +163,8 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id and the spans (kind, start, end in code points, score) of every whole text.
 
     Null and empty texts have none; null ids stay null; repeated rows are searched each; extra columns
-    are ignored. No shuffle: rows are independent.
+    are ignored; an empty table gives an empty result. Time is linear in a text's length. No shuffle: rows
+    are independent.
     """
     bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -150,16 +179,22 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def digest_spans(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans and the list of all spans, by document."""
+    """Counts of the base kinds, the hash of the base spans, the list of all spans, their number and their
+    scores in the same order, by document. Documents without spans have empty lists and the hash of none;
+    null ids stay null, repeated rows stay, an empty table gives an empty result."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.concat_ws(",", F.transform("spans", lambda s: F.format_string("%.1f", s["score"]))).alias("scores"))
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows and columns, with the spans in the text replaced by their kinds and the length renewed."""
+    """All rows and columns, with the spans in the text replaced by their kinds and the length renewed.
+
+    Null and empty texts, and those without spans, stay as they are, with their length; repeated rows stay;
+    an empty table gives an empty result."""
     bounded_batches(docs.sparkSession)
     name = OWN + "redacted"
 
