@@ -14,14 +14,12 @@ K_WORDS = 4
 #: Diagonals this near each other vote together: so many words may be added or lost inside a template.
 NEAR = 3
 MIN_COVERED = 0.6
-#: A span may be so many times as long as its template.
-MAX_STRETCH = 1.5
 #: All bytes but a-z, 0-9 and those of other scripts separate words (texts are lower-cased before).
 SEPARATORS = K.bytes_table((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Public license notices and their labels.
+#: Public license notices, and sentences of license bodies, with their labels.
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -34,6 +32,23 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "licensed under CC BY 4.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl", "licensed under the GNU Lesser General Public License"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl", "licensed under the GNU Affero General Public License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 )
 
@@ -103,8 +118,11 @@ def license_spans(texts: DataFrame, k: int = K_WORDS) -> DataFrame:
 
     All k-grams meet the template positions in an equi-join whose broadcast side is the fixed set of
     templates. Votes are summed by text, template and diagonal (the offset between the two positions)
-    before any shuffle; runs of diagonals up to NEAR apart are merged. A span is kept if distinct
-    template positions of at least MIN_COVERED were met within MAX_STRETCH of the template's length.
+    before any shuffle; runs of diagonals up to NEAR apart are merged into a band. A band is verified
+    word by word: the score is the share of the template's words that stand in the text at the band's
+    offsets, as parts of k-grams that are equal there; a span is kept from MIN_COVERED on. A template
+    with an edited word loses that word, and the words between it and an end or edit less than k away.
+    Null, empty and short texts have none, nor has an empty table; repeated rows share a key and its spans.
     """
     spark = texts.sparkSession
     rolled = map_batches(texts.select(KEY, TEXT), lambda b: _rolled(b, k), "key long, grams array<long>")
@@ -113,11 +131,11 @@ def license_spans(texts: DataFrame, k: int = K_WORDS) -> DataFrame:
     near = Window.partitionBy("key", "template").orderBy("diagonal")
     votes = votes.withColumn("new", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near), F.lit(NEAR + 1)) > NEAR).cast("int"))
     votes = votes.withColumn("band", F.sum("new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = votes.groupBy("key", "template", "band").agg(F.min("low").alias("start"), (F.max("high") + k).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"))
+    bands = votes.groupBy("key", "template", "band").agg(F.min("low").alias("start"), (F.max("high") + k).alias("end"), F.flatten(F.collect_list("met")).alias("met"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.col("met"), lambda at: F.sequence(at, at + k - 1)))))
     sizes = [len(_words(pa.array([t]))[0]) for _, t in TEMPLATES]
-    size = F.element_at(F.array(*map(F.lit, sizes)), F.col("template") + 1)
-    bands = bands.withColumn("score", F.least(F.lit(1.0), F.col("met") / (size - (k - 1))))
-    return bands.where((F.col("score") >= MIN_COVERED) & (F.col("end") - F.col("start") <= size * MAX_STRETCH)).select("key", "template", "start", "end", "score")
+    bands = bands.withColumn("score", covered / F.element_at(F.array(*map(F.lit, sizes)), F.col("template") + 1))
+    return bands.where(F.col("score") >= MIN_COVERED).select("key", "template", "start", "end", "score")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS) -> DataFrame:
@@ -126,7 +144,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The base is every place where a phrase's words stand one after the other; the method adds the
     labels of verified template spans. The score is 1 where a phrase stands, else the best span's. Null
     and empty texts have no words, places or labels, and score 0. Null ids stay null; repeated rows are
-    scanned alike; extra columns are ignored.
+    scanned alike; extra columns are ignored; an empty table gives an empty result.
     """
     texts = keyed(docs, id_col, text_col)
     base = map_batches(texts, _base, "key long, doc long, n_words long, n_base long, first_word long, last_word long, found array<string>")
