@@ -7,7 +7,7 @@ import importlib
 _WHERE = {
     "sparkloom.session": ("EngineSession", "SessionBuilder"),
     "sparkloom.frame": ("Frame",),
-    "sparkloom.functions.expr": ("Expr", "col", "col_index", "lit", "cast", "min", "max", "sum", "avg", "count", "count_distinct", "date_add", "date_subtract", "sqrt", "log", "function"),
+    "sparkloom.functions.expr": ("Expr", "col", "col_index", "lit", "cast", "min", "max", "sum", "avg", "count", "count_distinct", "date_add", "date_subtract", "sqrt", "log", "function", "case", "coalesce", "stddev", "variance", "median", "approx_distinct"),
     "sparkloom.operators.sorting": ("asc", "desc"),
     "sparkloom.operators.joins": ("JoinType", "NullEquality", "PartitionMode"),
     "sparkloom.operators.aggregates": ("AggregateMode",),

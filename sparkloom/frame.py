@@ -48,6 +48,11 @@ class Frame:
     def aggregate(self, group: list, aggregates: list) -> Frame:
         return self._next(A.aggregate(self.df, group, aggregates), "aggregate", group=group, aggregates=aggregates)
 
+    def aggregate_phase(self, mode: A.AggregateMode, group: list, aggregates: list) -> Frame:
+        """One phase of an aggregation; phases after the first read the states of the one before."""
+        mode = A.AggregateMode(mode).value
+        return self._next(A.in_mode(self.df, mode, group, aggregates), "aggregate_phase", mode=mode, group=group, aggregates=aggregates)
+
     def grouping_sets(self, sets: list[list[Expr]], group: list[Expr], aggregates: list[Expr]) -> Frame:
         return self._next(A.grouping_sets(self.df, sets, group, aggregates), "grouping_sets", sets=sets, group=group, aggregates=aggregates)
 
@@ -57,16 +62,15 @@ class Frame:
     def cube(self, group: list[Expr], aggregates: list[Expr]) -> Frame:
         return self._next(A.grouping_sets(self.df, [], group, aggregates, "cube"), "cube", group=group, aggregates=aggregates)
 
-    def two_phase(self, group: list[Expr], aggregates: list[Expr], partitions: int | None = None) -> Frame:
-        n = partitions or self.session.parallelism
-        return self._next(A.two_phase(self.df, group, aggregates, n), "two_phase", group=group, aggregates=aggregates, partitions=n)
+    def two_phase(self, group: list[Expr], aggregates: list[Expr]) -> Frame:
+        return self._next(A.two_phase(self.df, group, aggregates), "two_phase", group=group, aggregates=aggregates)
 
     def join(self, right: Frame, how="Inner", on: list[tuple[str, str]] = (), nulls="NullEqualsNothing", residual=None, mode="Auto") -> Frame:
-        """``residual`` is a function from the column lookups of both sides to a Spark condition; a frame
-        with one can't be serialised."""
+        """``residual`` is an expression over columns named left.<name> and right.<name>, or a function from
+        the column lookups of both sides to a Spark condition; a frame with a function can't be serialised."""
         how, nulls, mode = J.JoinType(how).value, J.NullEquality(nulls).value, J.PartitionMode(mode).value
         df = J.join(self.df, right.df, list(on), how, nulls, residual, mode)
-        more = {"residual": True} if residual is not None else {}
+        more = {"residual": residual if isinstance(residual, Expr) else True} if residual is not None else {}
         return self._next(df, "join", right, how=how, on=[list(p) for p in on], nulls=nulls, mode=mode, **more)
 
     def sort(self, keys: list) -> Frame:
@@ -115,8 +119,8 @@ class Frame:
         return self.spec.pretty()
 
     def to_json(self) -> str:
-        if any(n.params.get("residual") for n in self.spec.walk()):
-            raise ValueError("a join with a residual condition can't be serialised")
+        if any(n.params.get("residual") is True for n in self.spec.walk()):
+            raise ValueError("a join with a function as its residual condition can't be serialised")
         return self.spec.to_json()
 
     def explain(self, format: str = "indent") -> str:  # noqa: A002
@@ -128,16 +132,21 @@ class Frame:
         return [tuple(r) for r in self.df.collect()]
 
     def batches(self, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-        """The result as Arrow batches, fetched a partition at a time."""
-        names, part = self.df.columns, []
+        """The result as Arrow batches of ``rows`` rows at most, fetched a partition at a time.
+
+        Batches are packed on the executors and come as they are, never as rows."""
         kind = self.session.arrow_schema(self.df)
-        for r in self.df.toLocalIterator():
-            part.append(tuple(r))
-            if len(part) == rows:
-                yield _batch(part, names, kind)
-                part = []
-        if part:
-            yield _batch(part, names, kind)
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, rows):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(i, rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+        for row in self.df.mapInArrow(packed, "batch binary").toLocalIterator():
+            yield from pa.ipc.open_stream(bytes(row[0])).read_all().cast(kind).to_batches()
 
     def to_csv(self) -> str:
         return to_csv(self.df)
@@ -146,10 +155,6 @@ class Frame:
         return self.df.count()
 
 
-def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
 def build(session: EngineSession, node: Node) -> Frame:
     """The frame that a specification describes, over the session's tables."""
     if node.op == "scan":

@@ -32,6 +32,8 @@ NUMERICAL = ("add", "subtract", "mult", "div", "mod")
 #: An operator with its sides exchanged.
 SWAPPED = {"eq": "eq", "neq": "neq", "lt": "gt", "lteq": "gteq", "gt": "lt", "gteq": "lteq", "contains": "contained", "contained": "contains"}
 AGGREGATES = ("MIN", "MAX", "SUM", "AVG", "COUNT", "COUNT_DISTINCT")
+#: Further aggregates, by Spark's functions of these names.
+MORE_AGGREGATES = {"STDDEV": "stddev_samp", "VARIANCE": "var_samp", "MEDIAN": "median", "APPROX_DISTINCT": "approx_count_distinct"}
 
 
 @dataclass(frozen=True, eq=False)
@@ -135,6 +137,14 @@ class Expr:
     def is_not_distinct_from(self, other):
         return self._with("not_distinct", other)
 
+    def between(self, low, high):
+        """Whether the value is from low to high, both included."""
+        return self.gteq(low).and_(self.lteq(high))
+
+    def in_list(self, *values):
+        """Whether the value equals one of the others, by three-valued logic."""
+        return Expr("in", (self, *map(to_expr, values)))
+
     def alias(self, name: str):
         return Expr("alias", (self,), name)
 
@@ -180,6 +190,11 @@ class Expr:
                 return f"{shown} FILTER (WHERE {a[1]})" if a[1:] else shown
             case "selected":
                 return f"CASE WHEN {a[1]} THEN {a[0]} END"
+            case "in":
+                return f"{a[0]} IN ({', '.join(a[1:])})"
+            case "case":
+                rest = f" ELSE {a[-1]}" if len(a) % 2 else ""
+                return f"CASE {' '.join(f'WHEN {w} THEN {t}' for w, t in zip(a[::2], a[1::2], strict=False))}{rest} END"
             case _:
                 return f"{self.value}({', '.join(a)})"
 
@@ -287,6 +302,17 @@ def function(name: str, *args) -> Expr:
     return Expr("function", tuple(map(to_expr, args)), name)
 
 
+def case(*branches: tuple, otherwise=None) -> Expr:
+    """The value of the first (condition, value) whose condition is true, else ``otherwise`` or NULL."""
+    args = [to_expr(x) for pair in branches for x in pair]
+    return Expr("case", tuple(args if otherwise is None else [*args, to_expr(otherwise)]))
+
+
+def coalesce(*values) -> Expr:
+    """The first value that is not NULL."""
+    return function("coalesce", *values)
+
+
 def sqrt(e) -> Expr:
     return function("sqrt", e)
 
@@ -305,6 +331,7 @@ def _aggregate(name: str):
 
 
 min, max, sum, avg, count, count_distinct = map(_aggregate, AGGREGATES)  # noqa: A001
+stddev, variance, median, approx_distinct = map(_aggregate, MORE_AGGREGATES)
 
 
 def _known(e: Expr, df: DataFrame) -> T.DataType | None:
@@ -321,7 +348,7 @@ def _known(e: Expr, df: DataFrame) -> T.DataType | None:
             return spark_type(e.type)
         case "alias" | "negative" | "selected":
             return _known(e.args[0], df)
-        case "not" | "is_null" | "is_not_null":
+        case "not" | "is_null" | "is_not_null" | "in":
             return T.BooleanType()
         case "binary" if e.value in NUMERICAL:
             a, b = (_known(x, df) for x in e.args)
@@ -381,6 +408,13 @@ def _compile(e: Expr, df: DataFrame) -> Column:
             return F.date_sub(a[0], a[1].cast("int"))
         case "selected":
             return F.when(a[1], a[0])
+        case "in":
+            return a[0].isin(*a[1:])
+        case "case":
+            out = F.when(a[0], a[1])
+            for when, then in zip(a[2::2], a[3::2], strict=False):
+                out = out.when(when, then)
+            return out.otherwise(a[-1]) if len(a) % 2 else out
         case "function":
             if e.value in ("ln", "log"):
                 x = a[0].cast("double")
@@ -481,4 +515,6 @@ def _aggregated(e: Expr, df: DataFrame) -> Column:
             return F.count(inner)
         case "COUNT_DISTINCT":
             return F.count_distinct(inner)
+        case name if name in MORE_AGGREGATES:
+            return F.call_function(MORE_AGGREGATES[name], inner)
     raise SchemaError(f"unknown aggregate {e.value}")

@@ -16,12 +16,12 @@ class FunctionRegistry:
 
     def scalar(self, name: str, fn: Callable, returns: str) -> None:
         """A vectorised function of pandas series, sent in Arrow batches."""
-        self.spark.udf.register(name, F.pandas_udf(fn, returns))
+        self.spark.udf.register(name, F.pandas_udf(fn, returns, F.PandasUDFType.SCALAR))
         self.names["scalar"].add(name)
 
     def aggregate(self, name: str, fn: Callable, returns: str) -> None:
-        """A grouped aggregate: a function of pandas series (annotated so) to one value."""
-        self.spark.udf.register(name, F.pandas_udf(fn, returns))
+        """A grouped aggregate: a function of pandas series to one value. A group comes to one task whole."""
+        self.spark.udf.register(name, F.pandas_udf(fn, returns, F.PandasUDFType.GROUPED_AGG))
         self.names["aggregate"].add(name)
 
     def table(self, name: str, handler: type, returns: str) -> None:

@@ -105,12 +105,25 @@ def final_aggregate(states: DataFrame, keys: list[str], aggregates: list[Expr])
     return merged.select(*[F.col(f"`{k}`") for k in keys], *out)
 
 
-def two_phase(df: DataFrame, group: list[Expr], aggregates: list[Expr], partitions: int | None = None) -> DataFrame:
-    """Partial states by round-robin partition, then the final merge."""
-    if partitions:
-        df = df.repartition(partitions)
+def in_mode(df: DataFrame, mode: AggregateMode, group: list[Expr], aggregates: list[Expr]) -> DataFrame:
+    """One phase: rows to states, states to states, states to results, or rows to results.
+
+    Whether a phase's input is dealt by key already (the Partitioned modes) is for Spark to see: it then
+    adds no exchange."""
+    keys = [e.name(df.columns) for e in group]
+    match AggregateMode(mode):
+        case AggregateMode.PARTIAL:
+            return partial_aggregate(df, group, aggregates)
+        case AggregateMode.PARTIAL_REDUCE:
+            return reduce_partials(df, keys, aggregates)
+        case AggregateMode.FINAL | AggregateMode.FINAL_PARTITIONED:
+            return final_aggregate(df, keys, aggregates)
+    return aggregate(df, group, aggregates)
+
+
+def two_phase(df: DataFrame, group: list[Expr], aggregates: list[Expr]) -> DataFrame:
+    """States by key, then results from states. Spark sums up each task's rows before the one exchange, and the
+    second phase finds its input dealt by key."""
     keys = [e.name(df.columns) for e in group]
-    part = Expr("column", (), "partition.id")
-    dealt = df.withColumn("partition.id", F.spark_partition_id())
-    states = partial_aggregate(dealt, [*group, part], aggregates).drop("partition.id")
+    states = partial_aggregate(df, group, aggregates)
     return final_aggregate(states, keys, aggregates)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .frame import Frame
-from .functions.expr import Expr, avg, cast, col, col_index, count, count_distinct, date_add, date_subtract, function, lit, log, sqrt
+from .functions.expr import Expr, avg, case, cast, coalesce, col, col_index, count, count_distinct, date_add, date_subtract, function, lit, log, median, sqrt, stddev, variance
 from .functions.expr import max as max_
 from .functions.expr import min as min_
 from .functions.expr import sum as sum_
 from .operators.sorting import asc, desc
 from .session import EngineSession
+from .sources.custom import TableProvider
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -211,15 +215,18 @@ _CO = [("c_custkey", "o_custkey")]
 
 
 def _orders(t):
-    return t.orders.filter(col("o_custkey").modulus(3).neq(0)).project([col("o_orderkey"), col("o_custkey")])
+    """All orders; every third customer's have a null key."""
+    key = col("o_custkey").on_rows(col("o_custkey").modulus(3).neq(0)).alias("o_custkey")
+    return t.orders.project([col("o_orderkey"), key])
 
 
 def _customers(t):
-    return t.customer.filter(col("c_custkey").modulus(2).eq(0)).project([col("c_custkey"), col("c_name")])
+    """All customers, with keys moved by ten, so that both sides have keys that the other hasn't."""
+    return t.customer.project([(col("c_custkey") + 10).alias("c_custkey"), col("c_name")])
 
 
-_O = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 <> 0) o"
-_C = "(SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) c"
+_O = "(SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS o_custkey FROM orders) o"
+_C = "(SELECT c_custkey + 10 AS c_custkey, c_name FROM customer) c"
 
 
 @query(f"SELECT c.*, o.* FROM {_C} JOIN {_O} ON c_custkey = o_custkey")
@@ -262,12 +269,12 @@ def join_right_anti(t):
     return _customers(t).join(_orders(t), "RightAnti", _CO)
 
 
-@query(f"SELECT c.*, c_custkey IN (SELECT o_custkey FROM {_O}) AS mark FROM {_C}")
+@query(f"SELECT c.*, EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey) AS mark FROM {_C}")
 def join_mark(t):
     return _customers(t).join(_orders(t), "LeftMark", _CO)
 
 
-@query(f"SELECT o.*, o_custkey IN (SELECT c_custkey FROM {_C}) AS mark FROM {_O}")
+@query(f"SELECT o.*, EXISTS (SELECT 1 FROM {_C} WHERE c_custkey = o_custkey) AS mark FROM {_O}")
 def join_right_mark(t):
     return _customers(t).join(_orders(t), "RightMark", _CO)
 
@@ -294,7 +301,7 @@ def join_null_safe(t):
 def join_residual(t):
     left = t.customer.project([col("c_custkey"), col("c_acctbal")])
     right = t.orders.project([col("o_orderkey"), col("o_custkey"), col("o_totalprice")])
-    return left.join(right, "Left", _CO, residual=lambda c, o: o("o_totalprice") > c("c_acctbal") * 20)
+    return left.join(right, "Left", _CO, residual=col("right.o_totalprice").gt(col("left.c_acctbal") * 20))
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -355,9 +362,9 @@ def agg_having_alias(t):
     return t.sql("SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey HAVING n > 60", "lineitem")
 
 
-@query("SELECT l_suppkey, MAX(l_quantity) AS high FROM lineitem GROUP BY l_suppkey HAVING MIN(l_quantity) > 1")
+@query("SELECT l_suppkey, MAX(l_quantity) AS high FROM lineitem GROUP BY l_suppkey HAVING MIN(l_extendedprice) > 1000 AND COUNT(*) > 3")
 def agg_having_call(t):
-    return t.sql("SELECT l_suppkey, MAX(l_quantity) AS high FROM lineitem GROUP BY l_suppkey HAVING MIN(l_quantity) > 1", "lineitem")
+    return t.sql("SELECT l_suppkey, MAX(l_quantity) AS high FROM lineitem GROUP BY l_suppkey HAVING MIN(l_extendedprice) > 1000 AND COUNT(*) > 3", "lineitem")
 
 
 @query("SELECT l_returnflag, COUNT(l_orderkey) FILTER (WHERE l_quantity > 25) AS many, MAX(l_tax) FILTER (WHERE l_discount < 0.02) AS tax FROM lineitem GROUP BY l_returnflag")
@@ -393,17 +400,18 @@ _PHASES = "SELECT l_returnflag, MIN(l_quantity) AS low, COUNT(*) AS n, round(AVG
 
 @query(_PHASES)
 def agg_two_phase(t):
-    return rounded(t.lineitem.two_phase([col("l_returnflag")], [min_(col("l_quantity")).alias("low"), count(lit(1)).alias("n"), avg(col("l_extendedprice")).alias("mean")], 7), mean=4)
+    return rounded(t.lineitem.two_phase([col("l_returnflag")], [min_(col("l_quantity")).alias("low"), count(lit(1)).alias("n"), avg(col("l_extendedprice")).alias("mean")]), mean=4)
 
 
 @query("SELECT event_type, MIN(value) AS low, MAX(value) AS high, round(SUM(value), 4) AS total FROM events GROUP BY event_type")
 def agg_map_reduce(t):
-    """Partial results of each part of the table, then results of their union."""
-    parts = [t.events.filter(col("event_id").modulus(3).eq(i)) for i in range(3)]
+    """States of each part of the table, states of these, and the results, in one scan."""
     key, v = col("event_type"), col("value")
-    done = [p.aggregate([key], [min_(v).alias("low"), max_(v).alias("high"), sum_(v).alias("total")]) for p in parts]
-    every = done[0].union(done[1]).union(done[2])
-    return rounded(every.aggregate([key], [min_(col("low")).alias("low"), max_(col("high")).alias("high"), sum_(col("total")).alias("total")]), total=4)
+    wanted = [key], [min_(v).alias("low"), max_(v).alias("high"), sum_(v).alias("total")]
+    out = t.events
+    for mode in ("Partial", "PartialReduce", "Final"):
+        out = out.aggregate_phase(mode, *wanted)
+    return rounded(out, total=4)
 
 
 # sorting, limits, sets, partitioning
@@ -429,6 +437,158 @@ def limit_zero(t):
     return t.orders.project([col("o_orderkey")]).limit(0)
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12")
+def sort_within_partitions(t):
+    """The first rows of each sorted partition, of which there is one."""
+    rows = t.orders.project([col("o_orderkey"), col("o_totalprice")]).repartition(1)
+    return rows.sort_within_partitions([desc(col("o_totalprice")), asc(col("o_orderkey"))]).local_limit(12)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice * (1 - l_discount) DESC, l_orderkey, l_linenumber LIMIT 25")
+def sort_by_expression(t):
+    worth = col("l_extendedprice") * (lit(1) - col("l_discount"))
+    return t.lineitem.sort([desc(worth), asc(col("l_orderkey")), asc(col("l_linenumber"))]).limit(25).project([col("l_orderkey"), col("l_linenumber")])
+
+
+def _sql_query(name: str, text: str, *tables: str, oracle: str | None = None):
+    def run(t):
+        return t.sql(text, *tables)
+
+    run.__name__ = name
+    query(oracle or text)(run)
+
+
+_sql_query("where_alias_qualified", "SELECT o.o_orderkey, o.o_totalprice * 2 AS d FROM orders o WHERE d > 400000 AND o.o_orderkey > 3", "orders", oracle="SELECT o_orderkey, o_totalprice * 2 AS d FROM orders WHERE o_totalprice * 2 > 400000 AND o_orderkey > 3")
+_sql_query("where_alias_implicit", "SELECT o_orderkey, o_totalprice * 2 d, o_custkey + 1 e FROM orders WHERE d > 300000 AND e < 100", "orders", oracle="SELECT o_orderkey, o_totalprice * 2 AS d, o_custkey + 1 AS e FROM orders WHERE o_totalprice * 2 > 300000 AND o_custkey + 1 < 100")
+_sql_query("sql_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 5", "customer")
+_sql_query("sql_between_in_case", """SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 20 THEN 'mid' WHEN p_size IN (1, 2, 50) THEN 'edge' ELSE 'other' END AS class, p_size NOT IN (3, 4) AS kept FROM part WHERE p_size NOT BETWEEN 30 AND 35""", "part")
+_sql_query("sql_exists", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49) AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)", "supplier", "lineitem", "nation")
+_sql_query("sql_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.8 * AVG(o_totalprice) FROM orders)", "orders")
+_sql_query("sql_coalesce_nullif", "SELECT c_custkey, COALESCE(NULLIF(c_mktsegment, 'BUILDING'), 'none') AS segment FROM customer", "customer")
+_sql_query("sql_interval_day", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL '30' DAY AS due FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1998-01-01' - INTERVAL '90' DAY", "orders", oracle="SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY AS DATE) AS due FROM orders WHERE CAST(o_orderdate AS DATE) < CAST(DATE '1998-01-01' - INTERVAL 90 DAY AS DATE)")
+_sql_query("sql_scalar_functions", "SELECT n_nationkey, UPPER(n_name) AS loud, CAST(LENGTH(n_name) AS BIGINT) AS n, SUBSTRING(n_name, 2, 3) AS part, ROUND(SQRT(n_nationkey), 6) AS root, ABS(n_regionkey - 3) AS away, TRIM('  x ') AS x FROM nation", "nation")
+_sql_query("sql_group_by_all", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ALL", "orders")
+_sql_query("sql_window_functions", """SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before,
+    RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS place FROM orders""", "orders", oracle="""SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS nth, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before,
+    CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER) AS place FROM orders""")
+_sql_query("sql_set_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+_sql_query("cast_boolean", "SELECT n_nationkey, CAST(n_regionkey AS BOOLEAN) AS some, CAST('true' AS BOOLEAN) AS yes FROM nation", "nation")
+
+
+@query("SELECT c_mktsegment AS segment, COUNT(*) AS n FROM customer WHERE c_acctbal > 1000 GROUP BY c_mktsegment")
+def derived_view(t):
+    t.session.register("rich", t.customer.filter(col("c_acctbal").gt(1000.0)).project([col("c_mktsegment").alias("segment")]))
+    return t.session.sql("SELECT segment, COUNT(*) AS n FROM rich GROUP BY segment")
+
+
+@query("SELECT p_partkey, p_size >= 10 AND p_size <= 20 AS mid, p_size IN (1, 2, 50) AS edge, CASE WHEN p_size < 5 THEN 'small' WHEN p_size < 15 THEN 'some' ELSE 'many' END AS class, COALESCE(CASE WHEN p_size > 40 THEN p_size END, -1) AS large FROM part")
+def expressions_between_in_case(t):
+    s = col("p_size")
+    large = coalesce(s.on_rows(s.gt(40)), cast(lit(-1), "Int32"))
+    return t.part.project([col("p_partkey"), s.between(10, 20).alias("mid"), s.in_list(1, 2, 50).alias("edge"), case((s.lt(5), "small"), (s.lt(15), "some"), otherwise="many").alias("class"), large.alias("large")])
+
+
+@query("SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS spread, round(var_samp(l_discount), 8) AS variance, median(l_quantity) AS middle FROM lineitem GROUP BY l_returnflag")
+def agg_statistics(t):
+    out = t.lineitem.aggregate([col("l_returnflag")], [stddev(col("l_quantity")).alias("spread"), variance(col("l_discount")).alias("variance"), median(col("l_quantity")).alias("middle")])
+    return rounded(out, spread=6, variance=8)
+
+
+@query(f"SELECT c.*, EXISTS (SELECT 1 FROM {_O} WHERE c_custkey = o_custkey AND o_orderkey > c_custkey) AS mark FROM {_C}")
+def join_mark_residual(t):
+    return _customers(t).join(_orders(t), "LeftMark", _CO, residual=col("right.o_orderkey").gt(col("left.c_custkey")))
+
+
+@query("SELECT a.o_orderkey, a.o_custkey, b.c_name FROM orders a JOIN customer b ON a.o_custkey = b.c_custkey")
+def join_partitioned(t):
+    left = t.orders.project([col("o_orderkey"), col("o_custkey")])
+    return left.join(t.customer.project([col("c_custkey"), col("c_name")]), "Inner", [("o_custkey", "c_custkey")], mode="Partitioned").project([col("o_orderkey"), col("o_custkey"), col("c_name")])
+
+
+# sources, functions of the user's own
+def _written(t, name: str, frame: Frame, **options) -> str:
+    """The frame as delimited text in the folder that driver and executors share."""
+    spark = t.session.spark
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.df.write.options(**options).csv(path)
+    return path
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_source(t):
+    path = _written(t, "supplier", t.supplier.project([cast(col("s_suppkey"), "Int64"), col("s_name"), col("s_acctbal")]), header=True)
+    return t.session.register_csv("supplier_csv", path).project([cast(col("s_suppkey"), "Int32"), col("s_name"), col("s_acctbal")])
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+def tsv_source(t):
+    path = _written(t, "nation", t.nation, header=True, sep="\t")
+    rows = t.session.tsv(path, schema="n_nationkey int, n_name string, n_regionkey int").filter(col("n_regionkey").neq(1))
+    return rows.project([col("n_nationkey"), col("n_name")])
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def csv_source_without_header(t):
+    path = _written(t, "part", t.part.project([col("p_partkey"), col("p_brand")]))
+    return t.session.csv(path, schema="p_partkey int, p_brand string", header=False)
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 0.5), (2, NULL, 1.5), (3, 'c', NULL)) AS v(id, name, x)")
+def memory_source(t):
+    return t.session.register_data_source("small", [(1, "a", 0.5), (2, None, 1.5), (3, "c", None)], "id int, name string, x double")
+
+
+@query("SELECT name, x FROM (VALUES (1, 'a', CAST(0.5 AS DOUBLE)), (2, NULL, 1.5)) AS v(id, name, x)")
+def memory_source_projected(t):
+    return t.session.memory(pa.table({"id": [1, 2], "name": ["a", None], "x": [0.5, 1.5]}), columns=["name", "x"])
+
+
+class _Squares(TableProvider):
+    partitions = 4
+
+    def schema(self):
+        return "n long, square long, unused string"
+
+    def scan(self, partition, columns=None):
+        n = [*range(partition * 25, partition * 25 + 25)]
+        every = {"n": n, "square": [x * x for x in n]} | ({} if columns else {"unused": [None] * 25})
+        yield pa.RecordBatch.from_pydict({c: every[c] for c in columns or every})
+
+
+@query("SELECT i AS n, i * i AS square FROM range(100) AS r(i) WHERE i * i > 50")
+def provider_source(t):
+    return t.session.provider("squares", _Squares(), columns=["n", "square"]).filter(col("square").gt(50))
+
+
+@query("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS mean FROM events WHERE value >= 0 GROUP BY event_type")
+def udaf_geometric_mean(t):
+    def geometric(values):
+        import numpy as np
+
+        return float(np.exp(np.log(values).mean()))
+
+    t.session.functions.aggregate("geometric_mean", geometric, "double")
+    return rounded(t.sql("SELECT event_type, geometric_mean(value + 1) AS mean FROM events WHERE value >= 0 GROUP BY event_type", "events"), mean=6)
+
+
+@query("SELECT p_partkey, p_size * 3 + 1 AS hop FROM part")
+def udf_scalar(t):
+    t.session.functions.scalar("hop", lambda size: size * 3 + 1, "int")
+    return t.part.project([col("p_partkey"), function("hop", col("p_size")).alias("hop")])
+
+
+@query("SELECT i AS n FROM range(7) AS r(i)")
+def udtf_rows(t):
+    class Count:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    t.session.functions.table("count_up", Count, "n long")
+    return t.session.sql("SELECT n FROM count_up(7)")
+
+
 @query("SELECT DISTINCT p_brand, p_size FROM part")
 def distinct(t):
     return t.part.project([col("p_brand"), col("p_size")]).distinct()
@@ -444,9 +604,9 @@ def set_intersect(t):
     return t.customer.project([col("c_nationkey").alias("k")]).intersect(t.supplier.project([col("s_nationkey").alias("k")]))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey + 3 FROM supplier")
 def set_except(t):
-    return t.nation.project([col("n_nationkey").alias("k")]).except_(t.supplier.filter(col("s_suppkey").modulus(2).eq(0)).project([col("s_nationkey").alias("k")]))
+    return t.nation.project([col("n_nationkey").alias("k")]).except_(t.supplier.project([(col("s_nationkey") + 3).alias("k")]))
 
 
 @query("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
@@ -459,11 +619,16 @@ def repartition_round_robin(t):
     return t.orders.repartition(6).sort_within_partitions([asc(col("o_orderkey"))]).aggregate([col("o_orderstatus")], [count(lit(1)).alias("n")])
 
 
-@query("SELECT o_orderstatus, MAX(o_totalprice) AS high FROM orders WHERE o_orderkey > 10 GROUP BY o_orderstatus")
+@query("""SELECT c_mktsegment, MAX(CAST(o_totalprice AS BIGINT)) AS high, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 2
+    WHERE CAST(o_orderdate AS DATE) >= DATE '1993-02-28' GROUP BY c_mktsegment""")
 def serialized_plan(t):
-    """A plan sent as JSON and built again on the other side."""
-    t.session.register("orders", t.orders)
-    frame = t.session.table("orders").filter(col("o_orderkey").gt(10)).aggregate([col("o_orderstatus")], [max_(col("o_totalprice")).alias("high")])
+    """A plan sent as JSON and built again on the other side: join, residual condition, casts, aliases, dates."""
+    for name in ("customer", "orders"):
+        t.session.register(name, getattr(t, name))
+    orders = t.session.table("orders").filter(cast(col("o_orderdate"), "Date32").gteq(lit(datetime.date(1993, 2, 28))))
+    orders = orders.project([col("o_custkey"), col("o_totalprice"), cast(function("round", col("o_totalprice")), "Int64").alias("whole")])
+    frame = t.session.table("customer").project([col("c_custkey"), col("c_acctbal"), col("c_mktsegment")]).join(orders, "Inner", _CO, residual=col("right.o_totalprice").gt(col("left.c_acctbal") * 2))
+    frame = frame.aggregate([col("c_mktsegment")], [max_(col("whole")).alias("high"), count(lit(1)).alias("n")])
     return t.session.from_json(frame.to_json())
 
 

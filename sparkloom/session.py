@@ -110,8 +110,8 @@ class EngineSession:
     def memory(self, data, schema=None, columns=None) -> Frame:
         return self._frame(files.memory(self.spark, data, schema, columns), "memory")
 
-    def provider(self, name: str, provider: custom.TableProvider) -> Frame:
-        return self.register(name, self._frame(custom.provided(self.spark, provider, name), name))
+    def provider(self, name: str, provider: custom.TableProvider, columns: list[str] | None = None) -> Frame:
+        return self.register(name, self._frame(custom.provided(self.spark, provider, name, columns), name))
 
     def register(self, name: str, frame: Frame | DataFrame) -> Frame:
         """A frame as a table; a derived one is a view, which queries see as their own plan."""

@@ -13,14 +13,22 @@ from ..errors import IoError
 from ..functions.types import widen_ints
 
 
+#: Records that types are inferred from.
+INFERRED = 1024
+
+
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True, separator: str = ",") -> DataFrame:
-    """Delimited text with quoted fields. An empty field is null. Without a schema, types are inferred and
-    integers are bigint; give one to spare the extra pass over large files."""
+    """Delimited text with quoted fields. An empty field is null. Without a schema, types are inferred from
+    the first INFERRED records, and integers are bigint; a later value of another type raises when it is read."""
     reader = spark.read.option("header", header).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", False)
     try:
         if schema is not None:
             return reader.schema(schema).csv(path)
-        return widen_ints(reader.option("inferSchema", True).csv(path))
+        head = [r[0] for r in spark.read.text(path).limit(INFERRED + header).collect()]
+        if not head:
+            return reader.csv(path)
+        known = widen_ints(reader.option("inferSchema", True).csv(spark.sparkContext.parallelize(head, 1))).schema
+        return reader.schema(known).option("mode", "FAILFAST").csv(path)
     except AnalysisException as e:
         raise IoError(str(e).splitlines()[0], f"reading {path}") from e
 
