@@ -44,7 +44,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     word = K.hash_ranges(K.LOWER[data], begin, end, K.MULTS[0], K.BYTE_VALUES)
     first, second = data[begin], data[np.minimum(begin + 1, n - 1)]
     more = end - begin > 1
-    shape = np.where(kind[begin] == 2, 4 + more, _UPPER[first] + (_UPPER[first] & _UPPER[second] & more)).astype(np.uint64)
+    upper = _UPPER[first]
+    shape = np.where(kind[begin] == 2, 4 + more, upper.astype(np.uint8) + (upper & _UPPER[second] & more)).astype(np.uint64)
     shape[_DIGIT[first]] = 3
     same = text[1:] == text[:-1]
     pair = np.where(word[1:] == word[:-1], _REPEAT, word[:-1] * np.uint64(K.MULTS[2]) + word[1:])[same]
@@ -136,7 +137,8 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     """doc_id, held_out, score and predicted for each row, without a shuffle.
 
     The score depends on the whole text alone. Null and empty texts get the bias's score; a null id is
-    held out and stays null; repeated rows are scored each; extra columns are ignored.
+    held out and stays null; repeated rows are scored each; extra columns are ignored; an empty table
+    gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     weights, bias = model
@@ -151,7 +153,10 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose text scores ``threshold`` or more, with all their columns, without a shuffle."""
+    """The rows whose text scores ``threshold`` or more, with all their columns, without a shuffle.
+
+    Null and empty texts stay or go with the bias's score; repeated rows are judged each; an empty table
+    gives an empty result."""
     bounded_batches(docs.sparkSession)
     weights, bias = model
     name = OWN + "scored"
