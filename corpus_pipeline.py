@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near duplicates, decontamination, personal data, mix.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it decides
-takes effect in the rows that it returns.
+takes effect in the rows that it returns. Extra columns stay, whatever their names. An empty table gives an
+empty result in each stage. Texts of any length are used whole.
 """
 
 from __future__ import annotations
@@ -15,27 +16,31 @@ from sparkloom.llm.common import Cuts, documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it is fitted on the labelled ones among them."""
+    """Documents that the classifier rejects go; it is fitted on the labelled ones among them. Null and empty texts
+    have the score of the model's bias alone; repeated rows are judged each; rows with a null id are not learned from."""
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group linked by a Jaccard similarity of 0.8 on shingles of five words."""
+    """One document stays of each group linked by a Jaccard similarity of 0.8 on shingles of five words, that of
+    least id (null ids last). Null, empty and blank texts link with nothing and stay; of repeated rows one stays."""
     return jaccard.keep_one_of_each(docs, words=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts stay; repeated rows are judged each."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by the name of its kind."""
+    """Personal data and secrets in the texts are replaced by the names of their kinds, and n_chars is renewed. No row
+    goes; null and empty texts stay as they are."""
     return pii.redact_pii(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes, with the number of copies and words taken."""
+    """The documents that the mix of sources takes, with the number of copies and words taken. Null and empty texts
+    have no words to take; a null source is a source; rows equal in id and text tie."""
     return mixing.mixed_documents(docs)
 
 

@@ -1,4 +1,11 @@
-"""Substring dedup by seed and extend: winnowed anchors, extended to maximal repeated runs of words."""
+"""Substring dedup by seed and extend, on words.
+
+Seeds are winnowed anchors that occur twice in the corpus. A seed is extended both ways over the run of all
+windows that select it: runs of equal content are repeats as a whole, and where runs of one seed differ, their
+windows are compared one by one. Runs of neighbouring seeds join to maximal repeats, kept from the length
+threshold on by construction, as each window has that length. Occurrences of a seed are never paired; they
+are sorted by the content around it (see ``census``), so a seed that a third of all texts have costs as much as any.
+"""
 
 from __future__ import annotations
 
