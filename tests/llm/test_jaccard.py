@@ -52,9 +52,8 @@ def corpus(seed):
 
 
 def test_components(spark, monkeypatch):
-    for seed, n, percent, chunk in ((1, 3, 90, 100_000), (2, 5, 80, 300)):
-        monkeypatch.setattr(jaccard, "CHUNK", chunk)
-        monkeypatch.setattr(jaccard, "BLOCK", chunk)
+    for seed, n, percent, piece in ((1, 3, 90, 256), (2, 5, 80, 2)):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
         rows = corpus(seed)
         df = spark.createDataFrame(rows, IN).repartition(4)
         got = sorted(map(tuple, jaccard.jaccard_components(df, words=n, percent=percent).collect()), key=repr)

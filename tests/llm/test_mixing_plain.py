@@ -15,7 +15,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 def h(*values):
     seed = 42
     for v in values:
-        raw = v.encode() if isinstance(v, str) else struct.pack("<i" if v == mixing.SEED else "<q", v)
+        raw = v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else struct.pack("<q", v)
         seed = xxhash.xxh64_intdigest(raw, seed=seed)
     return seed
 
@@ -27,7 +27,7 @@ def signed(v):
 def draw(doc, text):
     doc = (1 << 63) - 1 if doc is None else doc
     key = signed(h(doc, text))
-    u = ((h(key, doc, mixing.SEED) >> 11) + 0.5) / (1 << 53)
+    u = ((h(key, doc, struct.pack("<i", mixing.SEED)) >> 11) + 0.5) / (1 << 53)
     raw = [w.encode() for w in WORD.findall(text)]
     letters = sum(chr(c).isalpha() and c < 128 or c >= 128 for w in raw for c in w)
     quality = min(1.0, max(0.1, letters / max(1, sum(map(len, raw)))))
