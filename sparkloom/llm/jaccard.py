@@ -9,9 +9,14 @@ three; two of the three then agree, so enumerating the three pairs gives a commo
 parts beyond the necessary number allow a set to leave out its empty signatures as long as fewer of
 its parts have one than must agree; else it keeps them.
 
-Signatures that a single class has are dropped by a count with map-side aggregation. Pairs are never
-emitted: the members of a signature are compared with the least of them, in chunks; signatures whose
-members are then still in different components are compared in pairs of blocks.
+Signatures are sorted in a round of ``census``: a block of texts sends each once and gets back which of
+them other classes have too, and the least class that has it, its centre. Classes are compared with their
+centres; then, where a signature's other members still are in different components, those with one
+another, in pieces of a bounded number of members. A pair is compared by size, then by counts of its sets'
+elements in hashed cells, whose common part is never less than that of the sets. Of the pairs that pass, a
+piece emits a forest over its components, likeliest pairs first; these have their whole sets compared. That is
+done again with the new components, without the pairs that were refuted; what then still passes between different
+components, which are pairs just below the limit for the most part, is compared as a whole.
 """
 
 from __future__ import annotations
@@ -23,15 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import census
 from . import kernels as K
-from .common import KEY, LAST_ID, OWN, TEXT, Cuts, bounded_batches, components, keyed, map_batches, real_id
+from .census import Block
+from .common import DOC, KEY, LAST_ID, OWN, TEXT, Cuts, components, keyed, map_batches, real_id
 
 WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Parts beyond the necessary number, as a share of it.
 SPARE = 0.15
-#: Shingles of a star's chunk and of a family's block, about; two blocks are compared at a time.
-CHUNK, BLOCK = 100_000, 300_000
+#: Members of a signature that are compared with one another, or with as many others, at a time.
+PIECE = 1024
+#: Passes over what the stars leave apart: forests, and in the last one all pairs that may link.
+PASSES = 3
+#: Cells of a sketch: a power of two, about the set's size.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 15
 GROUP = OWN + "group"
 
 
@@ -65,8 +76,8 @@ def band_limits(most: int) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of one set in all its bands."""
+def signatures(elements: np.ndarray, percent: int, part_of: int = 0, parts: int = 1) -> np.ndarray:
+    """PartEnum signatures of one set in all its bands, or in each of ``parts`` bands the one that is ``part_of``."""
     size = len(elements)
     if not size:
         return np.zeros(0, np.uint64)
@@ -77,8 +88,8 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for band in range(low, high + 1):
         k = 2 * (int(limits[band + 1]) - 1) * (100 - percent) // (100 + percent)
-        if k == 0:
-            continue  # only equal sets link
+        if k == 0 or band % parts != part_of:
+            continue  # only equal sets link; or a band of another pass
         n1 = k // 2 + 1
         n1 += int(n1 * SPARE)
         agree = n1 - k // 2
@@ -102,117 +113,243 @@ def _base(batch: pa.RecordBatch, words: int) -> pa.RecordBatch:
 
 
 def slices(percent: int) -> int:
-    """Passes in which signatures are handled, so that their shuffle stays near the size of the texts: a
-    lower similarity has more signatures."""
+    """Passes in which signatures are handled, by band, so that their shuffle stays near the size of the
+    texts: a lower similarity has more signatures."""
     return 1 if percent >= 90 else 2
 
 
-def _signed(batch: pa.RecordBatch, words: int, percent: int, part: int, parts: int) -> pa.RecordBatch:
-    elements, at = shingle_sets(batch.column(0), words)
-    names = class_hash(elements, at)
-    sigs, nodes = [], []
+def _signed(block: Block, words: int, percent: int, part: int, parts: int):
+    """Classes of a block, each once: its text's number, name and set; and all signatures with the class of each."""
+    texts = pa.Array.from_buffers(pa.large_binary(), len(block.keys), [None, pa.py_buffer(block.offsets.astype(np.int64)), pa.py_buffer(block.data)])
+    elements, at = shingle_sets(texts, words)
+    names, first = np.unique(class_hash(elements, at), return_index=True)
+    sets = [elements[at[i] : at[i + 1]] for i in first.tolist()]
+    sigs = [signatures(x, percent, part, parts) for x in sets]
+    owner = np.repeat(np.arange(len(names)), [len(x) for x in sigs])
+    return first, names.view(np.int64), sets, np.concatenate(sigs) if sigs else np.zeros(0, np.uint64), owner
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall into each cell, four bits for each; empty if a cell has too many."""
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (len(elements) - 1).bit_length()))
+    counts = np.bincount((elements >> np.uint64(16)).astype(np.int64) & (cells - 1), minlength=cells)
+    return (counts[0::2] << 4 | counts[1::2]).astype(np.uint8).tobytes() if counts.max() < 16 else b""
+
+
+def _ask_signatures(block: Block, words: int, percent: int, part: int, parts: int, rounds: int) -> list[dict]:
+    _, names, _, sigs, owner = _signed(block, words, percent, part, parts)
+    # sets are compared later, so signatures may meet by chance
+    return census.asked(sigs, np.zeros(len(sigs), np.uint32), names[owner], rounds, True)[0]
+
+
+MEMBERS = "c long, n long, sketch binary, body binary, size long, sigs binary, lows binary"
+
+
+def _members(block: Block, got: list[dict], words: int, percent: int, part: int, parts: int) -> pa.RecordBatch:
+    """Classes with signatures that others have too: size, sketch, text, those signatures and their centres."""
+    first, names, sets, sigs, owner = _signed(block, words, percent, part, parts)
+    _, place = census.asked(sigs, np.zeros(len(sigs), np.uint32), names[owner], 1, True)
+    alive, low = census.read_answers(got, names[owner], place)
+    sigs, owner, low = sigs[alive], owner[alive], low[alive]
+    at = np.searchsorted(owner, np.arange(len(names) + 1))
+    rows = []
+    for i in np.unique(owner).tolist():
+        t, own = int(first[i]), slice(at[i], at[i + 1])
+        text = block.data[block.offsets[t] : block.offsets[t + 1]].tobytes()
+        rows.append({"c": int(names[i]), "n": len(sets[i]), "sketch": sketch(sets[i]), "body": pa.compress(text, codec="zstd", asbytes=True), "size": len(text), "sigs": sigs[own].tobytes(), "lows": low[own].tobytes()})
+    kinds = [("c", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("body", pa.binary()), ("size", pa.int64()), ("sigs", pa.binary()), ("lows", pa.binary())]
+    return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def _edges(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(class, centre of one of its signatures)"""
+    lows = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column(1).to_pylist()]
+    a, b = np.repeat(batch.column(0).to_numpy(), [len(x) for x in lows]), np.concatenate(lows)
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+
+def _rest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(signature, class) but for the centres."""
+    sigs, lows = (np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(i).to_pylist()]) for i in (1, 2))
+    c = np.repeat(batch.column(0).to_numpy(), [len(x) // 8 for x in batch.column(1).to_pylist()])
+    return pa.RecordBatch.from_arrays([pa.array(sigs[c != lows]), pa.array(c[c != lows])], ["sig", "c"])
+
+
+class Sketches:
+    """The sketches of a batch, by number of cells; the double number is added up in pairs."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.cells = np.array([2 * len(x) for x in raw], np.int64)
+        self.raw, self.by = raw, {}
+
+    def of(self, rows: np.ndarray, cells: int) -> np.ndarray:
+        if cells not in self.by:
+            place, counts = np.full(len(self.raw), -1), []
+            for i in np.flatnonzero((self.cells == cells) | (self.cells == 2 * cells)).tolist():
+                place[i] = len(counts)
+                both = np.frombuffer(self.raw[i], np.uint8)
+                own = np.empty(2 * len(both), np.uint8)
+                own[0::2], own[1::2] = both >> 4, both & 15
+                counts.append(own if len(own) == cells else own[:cells] + own[cells:])
+            self.by[cells] = place, np.array(counts, np.uint8)
+        place, counts = self.by[cells]
+        return counts[place[rows]]
+
+
+def may_link(left: Sketches, a: np.ndarray, right: Sketches, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """The largest similarity that sizes and sketches leave to each pair (a, b) of sets of n_a and n_b elements; 0
+    if that is too little."""
+    fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    out = fits * np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+    cells_a, cells_b = left.cells[a], right.cells[b]
+    cells = np.minimum(cells_a, cells_b)
+    known = np.flatnonzero(fits & (cells > 0) & (np.maximum(cells_a, cells_b) <= 2 * cells))
+    for size in np.unique(cells[known]).tolist():
+        mine = known[cells[known] == size]
+        for i in range(0, len(mine), max(1, (1 << 22) // size)):
+            part = mine[i : i + max(1, (1 << 22) // size)]
+            most = np.minimum(left.of(a[part], size), right.of(b[part], size)).sum(axis=1, dtype=np.uint32).astype(np.int64)
+            union = n_a[part] + n_b[part] - most
+            out[part] = (100 * most >= percent * union) * most / union
+    return out
+
+
+def _likely(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Of (a, b, their sizes and sketches) the pairs that may link."""
+    every = np.arange(batch.num_rows)
+    keep = may_link(Sketches(batch.column(4)), every, Sketches(batch.column(5)), every, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+    return batch.select([0, 1]).filter(pa.array(keep > 0))
+
+
+def _pieces(batches, percent: int, forest: bool):
+    """Rows (sig, i, j, own, c, comp, n, sketch, no), sorted by the first three: pairs of one piece, or of two,
+    that may link, as a forest over components or all of them. ``no`` lists the classes that a class is known not
+    to link with."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = [held.column(i).to_numpy() for i in range(3)]
+        new = np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))
+        last = int(np.flatnonzero(new)[-1])  # the last piece may go on in the next batch
+        if last:
+            yield from _within(held.slice(0, last), np.cumsum(new[:last]), percent, forest)
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield from _within(held, np.zeros(held.num_rows, np.int64), percent, forest)
+
+
+def _within(rows: pa.RecordBatch, group: np.ndarray, percent: int, forest: bool):
+    i, j, own, c, comp, n = (rows.column(k).to_numpy() for k in range(1, 7))
+    sketches, known = Sketches(rows.column(7)), rows.column(8)
+    refuted = set(zip(np.repeat(c, known.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist(), known.flatten().to_pylist(), strict=True))
+    left, right, scores = [], [], []
+    for step in range(1, int(np.bincount(group).max())):
+        a = np.flatnonzero((group[step:] == group[:-step]) & (comp[step:] != comp[:-step]) & ((i == j)[step:] | (own[step:] != own[:-step])))
+        score = may_link(sketches, a, sketches, a + step, n[a], n[a + step], percent)
+        left.append(a[score > 0])
+        right.append(a[score > 0] + step)
+        scores.append(score[score > 0])
+    if not left:
+        return
+    left, right, scores = (np.concatenate(x) for x in (left, right, scores))
+    root, u, v = {}, [], []
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    order = np.argsort(-scores, kind="stable")
+    left, right = left[order], right[order]
+    for a, b, x, y in zip(c[left].tolist(), c[right].tolist(), comp[left].tolist(), comp[right].tolist(), strict=True):
+        x, y = top(x), top(y)
+        pair = max(a, b), min(a, b)
+        if x != y and pair not in refuted:
+            if forest:
+                root[max(x, y)] = min(x, y)
+            refuted.add(pair)  # not twice
+            u.append(pair[0])
+            v.append(pair[1])
+    if u:
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+
+def _linked(batch: pa.RecordBatch, words: int, percent: int) -> pa.RecordBatch:
+    """Of (a, b, their texts, packed) the pairs whose sets link."""
+    bodies = []
+    for k in (2, 4):
+        bodies.append(pa.array([pa.decompress(x, size, codec="zstd", asbytes=True) if size else b"" for x, size in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)], pa.large_binary()))
+    (x, at), (y, to) = (shingle_sets(texts, words) for texts in bodies)
+    keep = []
     for i in range(batch.num_rows):
-        own = signatures(elements[at[i] : at[i + 1]], percent)
-        own = own[own % np.uint64(parts) == part] if parts > 1 else own
-        sigs.append(own)
-        nodes.append(np.full(len(own), names[i]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, nodes)], ["sig", "c"])
-
-
-def similar(elements: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of sets that link. Shared elements are counted by products of incidence matrices."""
-    m, sizes = len(at) - 1, np.diff(at)
-    owner = np.repeat(np.arange(m), sizes)
-    _, where, count = np.unique(elements, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[where]
-    owner, column = owner[keep], number[where[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((m, m), np.float32)  # exact up to 2^24 shared elements
-    for low in range(0, int(shared.sum()), 2048):
-        a, b = np.searchsorted(column, [low, low + 2048])
-        x = np.zeros((m, 2048), np.float32)
-        x[owner[a:b], column[a:b] - low] = 1
-        some = np.flatnonzero(x.any(axis=1))
-        x = x[some]
-        both[np.ix_(some, some)] += x @ x.T
-    left, right = [], []
-    for i in range(m):
-        common = both[i, i + 1 :].astype(np.int64)
-        found = np.flatnonzero((100 * common >= percent * (sizes[i] + sizes[i + 1 :] - common)) & (common > 0))
-        left.append(np.full(len(found), i))
-        right.append(found + i + 1)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _verify(table: pa.Table, words: int, percent: int) -> pa.Table:
-    """Links that join the components of a group's members: a forest of them, not all pairs."""
-    c, comp, text = (table.column(k).combine_chunks() for k in ("c", "comp", "text"))
-    c, comp = c.to_numpy(), comp.to_numpy()
-    u, v = [], []
-    if len(set(comp.tolist())) > 1:
-        elements, at = shingle_sets(text, words)
-        near = similar(elements, at, percent)
-        root = {x: x for x in comp.tolist()}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for i, j in zip(*(x.tolist() for x in near), strict=True):
-            a, b = top(comp[i]), top(comp[j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                u.append(c[i])
-                v.append(c[j])
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-
-def link_classes(cuts: Cuts, texts: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+        own, other = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+        both = len(np.intersect1d(own, other, assume_unique=True))
+        keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
+    return batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
+
+
+def link_classes(cuts: Cuts, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, label) of the classes that link with others."""
-    spark = texts.sparkSession
-    members = None
-    for part in range(slices(percent)):
-        rows = map_batches(texts.select(TEXT), lambda b, part=part: _signed(b, words, percent, part, slices(percent)), "sig long, c long")
-        # copies of one text would count as several: a class counts once for each signature and partition at least
-        live = cuts.write(rows.groupBy("sig").agg(F.min("c").alias("m"), F.max("c").alias("most")).where("m < most").select("sig", "m"))
-        found = cuts.write(rows.join(live, "sig").distinct())
-        cuts.drop(live)
-        members = found if members is None else members.union(found)
-    sized = base.where("n > 0").groupBy("c").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    stars = cuts.write(members.where("c <> m").select("m", "c").distinct())
-    nodes = stars.select("c").union(stars.select(F.col("m").alias("c"))).distinct()
-    wanted = nodes.join(sized, "c")
-    body = cuts.write(texts.join(wanted, texts[KEY] == wanted["key"]).groupBy("c", "n").agg(F.min(TEXT).alias("text")))
-    sizes = body.select("c", "n")
-
-    def verified(groups: DataFrame, *by: str) -> DataFrame:
-        rows = groups.join(body, "c").select(*by, "c", "comp", "text")
-        return cuts.write(rows.groupBy(*by).applyInArrow(lambda t: _verify(t, words, percent), "u long, v long"))
-
-    # first round: each star in chunks of a bounded number of shingles, its centre in each of them
-    sums = stars.join(sizes, "c").groupBy("m").agg(F.ceil(F.sum("n") / CHUNK).alias("chunks"))
-    chunked = stars.join(sums, "m").select("m", "c", F.pmod(F.xxhash64("c"), F.col("chunks")).alias("chunk"))
-    centres = chunked.select("m", F.col("m").alias("c"), "chunk").distinct()
-    first = verified(chunked.union(centres).withColumn("comp", F.col("c")), "m", "chunk")
-    labels = cuts.write(components(cuts, first))
-
-    # second round: signatures whose members, but for the star's centre, are still apart. Members that such
-    # signatures connect are a family; its pairs of blocks are compared once, however many signatures it has
-    again = members.where("c <> m").join(labels, F.col("c") == F.col("node"), "left").select("sig", "c", F.coalesce("label", "c").alias("comp"))
-    apart = again.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("c").alias("least")).where("a < b").select("sig", "least")
-    families = components(cuts, again.join(apart, "sig").select(F.col("c").alias("u"), F.col("least").alias("v")))
-    families = cuts.write(families.join(sizes, F.col("node") == F.col("c")).select("c", F.col("label").alias("family"), "n"))
-    blocks = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = families.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("family", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.join(labels, F.col("c") == F.col("node"), "left").select("family", "c", F.coalesce("label", "c").alias("comp"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    second = verified(blocks, "family", "i", "j")
-    out = cuts.write(components(cuts, first.union(second)))
-    for frame in (stars, body, first, second, labels, families):
+    written = cuts.write(census.blocks(texts.select(KEY, DOC, TEXT)))
+    found, parts = [], slices(percent)
+    for part in range(parts):
+        got = census.rounds(cuts, written, True, [lambda b, _, rounds, part=part: _ask_signatures(b, words, percent, part, parts, rounds)])
+        members = census.with_answers(written, got).where("found is not null")
+        found.append(cuts.write(members.mapInArrow(lambda batches, part=part: (_members(Block.of(row), row["found"], words, percent, part, parts) for batch in batches for row in batch.to_pylist()), MEMBERS)))
+        cuts.drop(got)
+    cuts.drop(written)
+    members = found[0]
+    for more in found[1:]:
+        members = members.union(more)
+    # copies in several blocks, and sets with signatures in several passes, have several rows
+    sets = cuts.write(members.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first(F.struct("body", "size")).alias("text")))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("c").alias(side), F.col("text.body").alias("body_" + side), F.col("text.size").alias("size_" + side)), side)
+        pairs = pairs.select("a", "b", "body_a", "size_a", "body_b", "size_b")
+        return cuts.write(map_batches(pairs, lambda b: _linked(b, words, percent), "a long, b long"))
+
+    pairs = map_batches(members.select("c", "lows"), _edges, "a long, b long").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("c").alias(side), F.col("n").alias("n_" + side), F.col("sketch").alias("s_" + side)), side)
+    pairs = map_batches(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b"), lambda b: _likely(b, percent), "a long, b long")
+    likely = cuts.write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    linked = compared(likely)
+    rest = map_batches(members.select("c", "sigs", "lows"), _rest, "sig long, c long").distinct()
+    links, refuted, made = linked, cuts.write(likely.exceptAll(linked)), [likely, linked]
+    for i in range(PASSES):
+        labels = cuts.write(components(cuts, links.toDF("u", "v")))
+        # signatures whose members, but for the centre, are still apart; of those with the same members one
+        comp = F.coalesce("label", "c")
+        parts = rest.join(labels, F.col("c") == F.col("node"), "left").select("sig", "c", comp.alias("comp"))
+        hashes = [F.sum(F.pmod(F.xxhash64("c", F.lit(k)), F.lit(1 << 40))).alias(f"h{k}") for k in range(3)]
+        apart = parts.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("many"), *hashes).where("least < most")
+        apart = cuts.write(apart.groupBy("many", "h0", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("many") / PIECE).cast("int").alias("pieces")))
+        parts = cuts.write(parts.join(apart, "sig"))
+        for frame in (*found, apart):
+            cuts.drop(frame)
+        rest, found = parts.select("sig", "c"), [parts, labels]
+        rows = parts.withColumn("own", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
+        rows = rows.select("sig", "c", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+        rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "comp")
+        no = refuted.groupBy(F.col("a").alias("c")).agg(F.collect_list("b").alias("no"))
+        about = sets.select("c", "n", "sketch").join(no, "c", "left")
+        rows = rows.join(about, "c").select("sig", "i", "j", "own", "c", "comp", "n", "sketch", "no")
+        rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        likely = cuts.write(rows.mapInArrow(lambda batches, forest=i < PASSES - 1: _pieces(batches, percent, forest), "a long, b long").distinct())
+        made.append(likely)
+        if not likely.head(1):
+            break
+        linked = compared(likely)
+        links = links.union(linked)
+        if i < PASSES - 1:
+            before, refuted = refuted, cuts.write(refuted.union(likely.exceptAll(linked)))
+            cuts.drop(before)
+        made.append(linked)
+    out = cuts.write(components(cuts, links.toDF("u", "v")))
+    for frame in (sets, refuted, *made, *found):
         cuts.drop(frame)
     return out
 
@@ -228,10 +365,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     may be null or shared by texts that don't link, so component_id doesn't tell groups apart.
     """
     cuts = Cuts(docs.sparkSession, "jaccard")
-    bounded_batches(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     base = cuts.write(map_batches(texts, lambda b: _base(b, words), "key long, doc long, n long, c long"))
-    labels = link_classes(cuts, texts, base, words, percent)
+    labels = link_classes(cuts, texts, words, percent)
     classes = base.where("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
     classes = classes.join(labels, classes["c"] == labels["node"], "left").select("c", "least", F.coalesce("label", "c").alias("label"))
     least = classes.groupBy("label").agg(F.min("least").alias("component"))
