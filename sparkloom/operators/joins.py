@@ -6,6 +6,7 @@ from dataclasses import replace
 from enum import Enum
 from functools import reduce
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,9 @@ def _dealt(a: DataFrame, b: DataFrame, mode: PartitionMode) -> tuple[DataFrame,
     if mode == PartitionMode.PARTITIONED:
         return a.hint("merge"), b  # both sides are dealt by key; sorted runs spill, whichever side is large
     if mode == PartitionMode.COLLECT_LEFT:
-        size = int(str(a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        try:
+            size = int(str(a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        except (AttributeError, PySparkAttributeError):  # a remote session gives no estimate: nothing is broadcast on request
+            return a, b
         return (F.broadcast(a) if size <= COLLECT_BYTES else a), b
     return a, b

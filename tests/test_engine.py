@@ -217,10 +217,51 @@ def test_builder(spark):
     assert EngineSession(spark=spark, parallelism=3).parallelism == 3
 
 
+def test_aliases_in_where():
+    from sparkloom.plans.sqlfront import with_alias_in_where as put
+
+    assert put("SELECT a, b * 2 AS d FROM t o WHERE d > 1 AND o.d < 2", "d") == "SELECT a, b * 2 AS d FROM t o WHERE (b * 2) > 1 AND o.d < 2"
+    assert put("SELECT b*2 d FROM t WHERE d IN (SELECT d FROM u) AND d(1) = `d` ORDER BY d", "d") == "SELECT b*2 d FROM t WHERE (b*2) IN (SELECT d FROM u) AND d(1) = (b*2) ORDER BY d"
+    assert put("SELECT CASE WHEN a THEN 1 END FROM t WHERE x > 1", "x") is None and put("SELECT a IS NULL FROM t WHERE x", "x") is None
+    assert put("SELECT (a + 1) x, 'q' y, 3 z FROM t JOIN u ON t.i = u.i WHERE x = z AND y = 'x'", "x") == "SELECT (a + 1) x, 'q' y, 3 z FROM t JOIN u ON t.i = u.i WHERE ((a + 1)) = z AND y = 'x'"
+
+
+def test_batches_phases_and_projected_providers(session):
+    f = session.memory([(i, None if i % 7 == 0 else f"s{i}") for i in range(2500)], "a long, b string").repartition(3)
+    got = list(f.batches(100))
+    assert max(b.num_rows for b in got) <= 100 and sum(b.num_rows for b in got) == 2500 and got[0].schema.names == ["a", "b"]
+    assert sorted(x for b in got for x in b.column(0).to_pylist()) == list(range(2500))
+    out = f
+    for mode in ("Partial", "PartialReduce", "FinalPartitioned"):
+        out = out.aggregate_phase(mode, [(col("a") % 3).alias("k")], [sl.sum(col("a")).alias("s"), sl.avg(col("a")).alias("m")])
+    assert sorted(out.collect()) == sorted(f.aggregate_phase("Single", [(col("a") % 3).alias("k")], [sl.sum(col("a")).alias("s"), sl.avg(col("a")).alias("m")]).collect())
+
+    class Asked(sl.TableProvider):
+        def schema(self):
+            return "x long, y long"
+
+        def scan(self, partition, columns=None):
+            import pyarrow
+
+            assert columns == ["y"]
+            yield pyarrow.RecordBatch.from_pydict({"y": [1, 2]})
+
+    assert session.provider("asked", Asked(), columns=["y"]).collect() == [(1,), (2,)]
+
+
+def test_csv_types_come_from_the_first_records(session):
+    path = session.folder / "long.csv"
+    path.write_text("n,m\n" + "".join(f"{i},\n" for i in range(1500)) + "x,1\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        session.csv(str(path)).collect()
+    (session.folder / "none.csv").write_text("n,m\n")
+    assert session.csv(str(session.folder / "none.csv")).count() == 0 and session.csv(str(path), schema="n string, m long").count() == 1501
+
+
 def test_random_plans_agree_with_duckdb_values(session):
     """Random plans run, and give the same rows however the input is partitioned."""
-    columns = {"a": "bigint", "b": "double", "c": "string", "d": "boolean", "e": "int"}
-    for seed in range(12):
+    columns = {"a": "bigint", "b": "double", "c": "string", "d": "boolean", "e": "int", "f": "date"}
+    for seed in range(16):
         fuzz = Fuzzer(seed)
         table = fuzz.table(session, "random", columns, 40)
         state = fuzz.random.getstate()
