@@ -534,12 +534,12 @@ def csv_source_without_header(t):
     return t.session.csv(path, schema="p_partkey int, p_brand string", header=False)
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 0.5), (2, NULL, 1.5), (3, 'c', NULL)) AS v(id, name, x)")
+@query("SELECT id, name, CAST(x AS DOUBLE) AS x FROM (VALUES (1, 'a', 0.5), (2, NULL, 1.5), (3, 'c', NULL)) AS v(id, name, x)")
 def memory_source(t):
     return t.session.register_data_source("small", [(1, "a", 0.5), (2, None, 1.5), (3, "c", None)], "id int, name string, x double")
 
 
-@query("SELECT name, x FROM (VALUES (1, 'a', CAST(0.5 AS DOUBLE)), (2, NULL, 1.5)) AS v(id, name, x)")
+@query("SELECT name, CAST(x AS DOUBLE) AS x FROM (VALUES (1, 'a', 0.5), (2, NULL, 1.5)) AS v(id, name, x)")
 def memory_source_projected(t):
     return t.session.memory(pa.table({"id": [1, 2], "name": ["a", None], "x": [0.5, 1.5]}), columns=["name", "x"])
 
@@ -626,7 +626,7 @@ def serialized_plan(t):
     for name in ("customer", "orders"):
         t.session.register(name, getattr(t, name))
     orders = t.session.table("orders").filter(cast(col("o_orderdate"), "Date32").gteq(lit(datetime.date(1993, 2, 28))))
-    orders = orders.project([col("o_custkey"), col("o_totalprice"), cast(function("round", col("o_totalprice")), "Int64").alias("whole")])
+    orders = orders.project([col("o_custkey"), col("o_totalprice"), cast(function("rint", col("o_totalprice")), "Int64").alias("whole")])
     frame = t.session.table("customer").project([col("c_custkey"), col("c_acctbal"), col("c_mktsegment")]).join(orders, "Inner", _CO, residual=col("right.o_totalprice").gt(col("left.c_acctbal") * 2))
     frame = frame.aggregate([col("c_mktsegment")], [max_(col("whole")).alias("high"), count(lit(1)).alias("n")])
     return t.session.from_json(frame.to_json())
