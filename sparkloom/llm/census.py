@@ -159,7 +159,7 @@ def read_answers(found: list[dict], owners: np.ndarray, place: np.ndarray) -> tu
     return alive, np.where(alive, low[place], owners)
 
 
-def ask(cuts: Cuts, written: DataFrame, found: DataFrame | None, step: Callable[[Block, list[dict]], list[dict]]) -> DataFrame:
+def ask(written: DataFrame, found: DataFrame | None, step: Callable[[Block, list[dict]], list[dict]]) -> DataFrame:
     """Each block with what it got back (and kept for itself) in the last round: what it asks about in the next one."""
     rows = written if found is None else with_answers(written, found)
 
@@ -186,7 +186,7 @@ def rounds(cuts: Cuts, written: DataFrame, by_owner: bool, steps: list[Callable[
     Names are written beside what the blocks keep, and removed as soon as they are answered."""
     parts, found, old = part_count(written), None, []
     for step in steps:
-        sent = ask(cuts, written, found, lambda block, got, step=step: step(block, got, parts))
+        sent = ask(written, found, lambda block, got, step=step: step(block, got, parts))
         if found is None:  # nothing is kept, so the names needn't be written before they are sorted
             names, kept = sent, None
         else:
