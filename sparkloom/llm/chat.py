@@ -79,7 +79,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     turns. ``loss`` has the places of the assistant's texts in the piece, in characters. A conversation
     of usual length is one piece; a longer one is cut between turns, so no value is unbounded. Turns
     are rendered where they are read; one conversation's rows then stream through one task in order,
-    with a piece in memory at a time. Extra columns are ignored.
+    with a piece in memory at a time. Extra columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(turns.sparkSession)
 
@@ -116,7 +116,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """What the output says, read back from it alone; pieces must come in order, as they are formatted."""
+    """What the output says, read back from it alone; pieces must come in order, as they are formatted.
+
+    Empty texts count as turns without characters; a conversation without assistant turns has the hash of no
+    text; a null conv_id is one conversation; an empty table gives an empty result."""
 
     def run(batches):
         state, conv, begun = None, None, False
