@@ -65,7 +65,9 @@ def vectors(column: pa.Array, bits: int = BITS):
 
 
 def fit_ftrl(rows, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias from (indexes, values, label) rows, in their order. No rows: all zero."""
+    """Weights and bias from a list of (indexes, values, label) rows, in their order. No rows: all zero.
+
+    Beside the rows only one of them is held, widened to 64 bits."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     bias = 1 << bits
 
@@ -73,9 +75,9 @@ def fit_ftrl(rows, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray,
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    rows = [(np.append(i, bias), np.append(v, 1.0), y) for i, v, y in rows]
     for _ in range(epochs):
         for i, v, y in rows:
+            i, v = np.append(i.astype(np.int64), bias), np.append(v.astype(float), 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -30, 30)))
             g = (p - y) * v
@@ -105,6 +107,16 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(True))
 
 
+def _rows(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(indexes, values, label) of each row of (doc, y, i, v): views, so that the sample is held once."""
+    out = []
+    for batch in sample.to_batches():
+        at = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)).tolist()
+        i, v = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+        out += [(i[a:b], v[a:b], y) for a, b, y in zip(at[:-1], at[1:], batch.column(1).to_pylist(), strict=True)]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
     """Fit on at most ``max_train`` labelled rows that aren't held out: those of least hashed id.
 
@@ -126,11 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(x.cast(t) for x, t in zip(lists, kind, strict=True))], ["doc", "y", "i", "v"])
 
     got = sample.mapInArrow(run, "doc long, y double, i array<int>, v array<float>").orderBy(F.xxhash64("doc"), "doc").toArrow()
-    columns = [got.column(k).combine_chunks() for k in ("i", "v")]
-    at = np.append(0, np.cumsum(columns[0].value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
-    i, v = (c.flatten().to_numpy(zero_copy_only=False) for c in columns)
-    y = got.column("y").to_pylist()
-    return fit_ftrl([(i[at[k] : at[k + 1]].astype(np.int64), v[at[k] : at[k + 1]].astype(float), y[k]) for k in range(len(y))])
+    model = fit_ftrl(_rows(got))
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
